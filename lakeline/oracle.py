@@ -24,11 +24,16 @@ _VALID = "measurement IS NOT NULL AND measurement <> -1"
 _IN_1997 = "intake_date >= TIMESTAMP '1997-01-01' AND intake_date < TIMESTAMP '1998-01-01'"
 
 
+def _round(value: str) -> str:
+    """Six digits, in two steps as the queries do it."""
+    return f"round(round({value}, 9), 6)"
+
+
 def _metrics(source: str, measurement: str = "measurement", extra: str = "") -> str:
     return f"""
-      SELECT {extra} round(avg(measurement), 6) AS average_measurement,
+      SELECT {extra} {_round('avg(measurement)')} AS average_measurement,
              count(*) FILTER (WHERE {_INVALID}) AS count_invalid_measurements,
-             round(avg(measurement) FILTER (WHERE {_VALID}), 6) AS average_valid
+             {_round(f'avg(measurement) FILTER (WHERE {_VALID})')} AS average_valid
       FROM (SELECT {measurement} AS measurement FROM ({source}))"""
 
 
@@ -43,7 +48,7 @@ _CLASS = f"""
 
 def _health(keys: str) -> str:
     return f"""
-      SELECT *, round(n_normal / n, 6) AS valid_ratio,
+      SELECT *, {_round('n_normal / n')} AS valid_ratio,
              CASE WHEN last_seen < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'offline'
                   WHEN n_normal / n < 0.5 THEN 'faulty' ELSE 'ok' END AS status
       FROM (
@@ -52,7 +57,7 @@ def _health(keys: str) -> str:
                count(*) FILTER (WHERE kind = 'normal') AS n_normal,
                count(*) FILTER (WHERE kind = 'outlier') AS n_outlier,
                count(*) FILTER (WHERE kind = 'unexpected') AS n_unexpected,
-               round(avg(measurement) FILTER (WHERE kind <> 'invalid'), 6) AS average_valid,
+               {_round("avg(measurement) FILTER (WHERE kind <> 'invalid')")} AS average_valid,
                max("timestamp") AS last_seen
         FROM (SELECT *, {_CLASS} AS kind FROM ({SENSORS}))
         GROUP BY ALL)"""
@@ -71,16 +76,15 @@ _CLOSED = "bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1
 
 def _rounded_buckets(where: str = "true") -> str:
     return f"""
-      SELECT * REPLACE (round(average_measurement, 6) AS average_measurement,
-                        round(average_valid, 6) AS average_valid)
+      SELECT * REPLACE ({_round('average_measurement')} AS average_measurement,
+                        {_round('average_valid')} AS average_valid)
       FROM ({_BUCKETS}) WHERE {where}"""
 
 
 def _smoothed(where: str = "true") -> str:
+    trailing = "avg(average_valid) OVER (PARTITION BY sensor_type ORDER BY bucket ROWS 4 PRECEDING)"
     return f"""
-      SELECT sensor_type, bucket,
-             round(avg(average_valid) OVER (PARTITION BY sensor_type ORDER BY bucket
-                                            ROWS 4 PRECEDING), 6) AS smoothed
+      SELECT sensor_type, bucket, {_round(trailing)} AS smoothed
       FROM ({_BUCKETS}) WHERE n_valid > 0 AND {where}"""
 
 
