@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Fixed value: the reading a burnt-out sensor sends.
 INVALID_MARK = -1
 
+CLASSES = ("invalid", "normal", "outlier", "unexpected")
+
 
 @dataclass(frozen=True)
 class ReadingRanges:

@@ -13,7 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.functions.readings import ReadingRanges, is_invalid, reading_class, valid_or_null
+from lakeline.functions.readings import (
+    CLASSES,
+    ReadingRanges,
+    is_invalid,
+    reading_class,
+    valid_or_null,
+)
 from lakeline.operators.counting import count_by
 
 HOUR = datetime.timedelta(hours=1)
@@ -53,10 +59,7 @@ def health_counts(
     kind = reading_class(value, ranges)
     return readings.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(kind == name).alias(f"n_{name}")
-            for name in ("invalid", "normal", "outlier", "unexpected")
-        ],
+        *[F.count_if(kind == name).alias(f"n_{name}") for name in CLASSES],
         F.avg(valid_or_null(value)).alias("average_valid"),
         F.max(timestamp).alias("last_seen"),
     )
@@ -149,14 +152,18 @@ def sensors_online(
     """Sensors online at ``as_of`` with their last reading up to then.
 
     A sensor is online exactly when it has a reading inside the horizon, so the
-    horizon filters the readings first: a literal ``as_of`` lets the scan skip
-    all older data.
+    horizon filters the readings first: the bounds are constants of the time
+    column's own type, and the scan can skip all older data.
     """
-    if as_of is None:
-        as_of = newest(readings, timestamp)
-    now = _column(as_of)
     seen = F.col(timestamp)
-    recent = readings.where((seen >= now - F.lit(horizon)) & (seen <= now))
+    if as_of is None:
+        # One subquery gives the finished bound; nothing is newer than the newest.
+        recent = readings.where(
+            seen >= readings.agg(F.max(timestamp) - F.lit(horizon)).scalar()
+        )
+    else:
+        now = _column(as_of).cast(readings.schema[timestamp].dataType)
+        recent = readings.where((seen >= now - F.lit(horizon)) & (seen <= now))
     return last_readings(recent, keys, measurement, timestamp)
 
 

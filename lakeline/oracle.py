@@ -29,9 +29,9 @@ def _round(value: str) -> str:
     return f"round(round({value}, 9), 6)"
 
 
-def _metrics(source: str, measurement: str = "measurement", extra: str = "") -> str:
+def _metrics(source: str, measurement: str = "measurement") -> str:
     return f"""
-      SELECT {extra} {_round('avg(measurement)')} AS average_measurement,
+      SELECT {_round('avg(measurement)')} AS average_measurement,
              count(*) FILTER (WHERE {_INVALID}) AS count_invalid_measurements,
              {_round(f'avg(measurement) FILTER (WHERE {_VALID})')} AS average_valid
       FROM (SELECT {measurement} AS measurement FROM ({source}))"""
@@ -88,11 +88,16 @@ def _smoothed(where: str = "true") -> str:
       FROM ({_BUCKETS}) WHERE n_valid > 0 AND {where}"""
 
 
-_ONLINE = f"""
-  SELECT sensor_id, max("timestamp") AS last_seen,
-         arg_max_null(measurement, "timestamp") AS last_measurement
-  FROM ({SENSORS}) GROUP BY sensor_id
-  HAVING max("timestamp") >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+def _online(key: str) -> str:
+    return f"""
+      SELECT {key}, max("timestamp") AS last_seen,
+             arg_max_null(measurement, "timestamp") AS last_measurement
+      FROM ({SENSORS}) GROUP BY 1
+      HAVING max("timestamp") >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+# A result saved to both stores and read back from each.
+_BOTH = "SELECT *, unnest(['documents', 'table']) AS target FROM ({})"
 
 _LOGINS = f"""
   SELECT 'u' || user_id AS username, count(*) AS n FROM events
@@ -187,24 +192,26 @@ ORACLE: dict[str, str] = {
     "sensor_health": _health("sensor_id, sensor_type"),
     "sensor_buckets": _rounded_buckets(),
     "sensor_smoothing": _smoothed(),
-    "sensor_online": _ONLINE,
+    "sensor_online": _online("sensor_id"),
     "ingest_csv": _READINGS,
     "ingest_csv_inferred": f"""
       SELECT id, admission, sex, course, birth_year FROM ({STUDENTS})""",
     "ingest_json": _READINGS,
     "ingest_lake": _READINGS,
-    "lake_metrics": _health("sensor_type"),
+    "lake_metrics": _BOTH.format(_metrics(SENSORS)),
+    "lake_health": _BOTH.format(_health("sensor_type")),
+    "lake_buckets": _BOTH.format(_rounded_buckets()),
+    "lake_smoothing": _BOTH.format(_smoothed()),
+    "lake_online": _BOTH.format(_online("sensor_type")),
     "docs_roundtrip": SENSORS,
     "table_roundtrip": SENSORS,
     "migrate_table_to_docs": SENSORS,
     "migrate_docs_to_table": SENSORS,
-    "metrics_dual_sink": f"""
-      {_metrics(SENSORS, extra="'documents' AS target,")}
-      UNION ALL {_metrics(SENSORS, extra="'table' AS target,")}""",
+    "metrics_dual_sink": _BOTH.format(_metrics(SENSORS)),
     "stream_cdc_metrics": _metrics(SENSORS, _FLOAT),
     "stream_json_sink": SENSORS,
     "stream_buckets": _rounded_buckets(_CLOSED),
     "stream_smoothing": _smoothed(_CLOSED),
-    "stream_online": _ONLINE,
+    "stream_online": _online("sensor_id"),
     "stream_health": _health("sensor_id, sensor_type"),
 }

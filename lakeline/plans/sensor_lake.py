@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from lakeline.config import Target
-from lakeline.operators.sensors import HOUR, bucket_means, sensor_health, sensor_metrics, sensors_online
+from lakeline.operators.rollup import rollup, total_health, total_last, total_means, total_metrics
+from lakeline.operators.sensors import HOUR, newest, online_at, with_status
 from lakeline.operators.smoothing import smooth
+from lakeline.session import scratch_path
 from lakeline.sinks.stores import write_metrics
 from lakeline.sources.files import read_sensor_lake
 
@@ -20,19 +22,31 @@ def lake_metrics(
     keys: Sequence[str] = ("sensor_type",),
     as_of: Column | datetime.datetime | None = None,
     horizon: datetime.timedelta = HOUR,
+    width: str = "1 hour",
+    staging: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every dashboard table over all files of the directory, all lazy."""
-    readings = read_sensor_lake(spark, path)
-    buckets = bucket_means(readings, keys)
+    """Every dashboard table over all files of the directory.
+
+    The files are read and parsed once, into a rollup stored as Parquet at
+    ``staging`` (by default in the shared scratch folder); the tables are lazy
+    and read only that.
+    """
+    staging = staging or scratch_path(spark, "rollup")
+    rollup(read_sensor_lake(spark, path), keys, width).write.parquet(staging)
+    totals = spark.read.parquet(staging)
+    now = newest(totals, "last_seen") if as_of is None else as_of
     return {
-        "sensor_metrics": sensor_metrics(readings),
-        "sensor_health": sensor_health(readings, keys, as_of, horizon),
-        "sensor_smoothing": smooth(buckets, keys),
-        "sensors_online": sensors_online(readings, keys, as_of, horizon),
+        "sensor_metrics": total_metrics(totals),
+        "sensor_health": with_status(total_health(totals, keys), now, horizon),
+        "sensor_buckets": total_means(totals, keys),
+        "sensor_smoothing": smooth(total_means(totals, keys), keys),
+        "sensors_online": online_at(total_last(totals, keys), now, horizon),
     }
 
 
-def refresh(metrics: dict[str, DataFrame], targets: dict[str, Sequence[Target]]) -> None:
+def refresh(
+    metrics: Mapping[str, DataFrame], targets: Mapping[str, Sequence[Target]]
+) -> None:
     """Replace each named metric in its targets."""
     for name, stores in targets.items():
         write_metrics(metrics[name], stores)

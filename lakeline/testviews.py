@@ -101,11 +101,10 @@ def bracketed_debts() -> Column:
     return F.when(balance < 0, debt).otherwise(balance.cast("string"))
 
 
-def payroll(orders: DataFrame) -> DataFrame:
+def payroll(orders: DataFrame, *keep: str) -> DataFrame:
     """Payroll lines: a person and a job title, with repeated rows."""
-    return orders.select(
-        F.concat(F.col("o_custkey"), F.lit(";"), F.col("o_orderpriority")).alias("value")
-    )
+    line = F.concat(F.col("o_custkey"), F.lit(";"), F.col("o_orderpriority"))
+    return orders.select(line.alias("value"), *keep)
 
 
 def students(orders: DataFrame) -> DataFrame:
