@@ -16,11 +16,13 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The spellings Python's float() accepts, once stripped.
-_DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_DECIMAL = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-_INFINITY = r"(?i)^[+-]?inf(?:inity)?$"
-_NAN = r"(?i)^[+-]?nan$"
+# The spellings Python's float() accepts, once stripped: an underscore only
+# between two digits, and a number, infinity or nan. Group 1 leaves out the sign of a signed
+# nan, which Spark does not take. Only single characters repeat, so long text is no danger.
+_FLOAT = (
+    r"(?i)^(?!.*(?<![0-9])_)(?!.*_(?![0-9]))(?:[+-](?=n))?"
+    r"([+-]?(?:[0-9_]+(?:\.[0-9_]*)?|\.[0-9_]+)(?:e[+-]?[0-9_]+)?|[+-]?inf(?:inity)?|nan)$"
+)
 
 
 def strip(text: Column) -> Column:
@@ -67,17 +69,13 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def lenient_double(text: Column) -> Column:
-    """Parse a number as Python's ``float()`` would, NULL where it would fail.
+    """Strip, then parse a number as Python's ``float()`` would; NULL where it would fail.
 
     ``try_cast`` alone also takes ``1.5f``, ``2d`` and hexadecimal floats, and
     refuses ``1_000`` and ``+nan``.
     """
-    clean = strip(text)
-    return (
-        F.when(clean.rlike(_DECIMAL), remove(clean, "_").try_cast("double"))
-        .when(clean.rlike(_INFINITY), clean.try_cast("double"))
-        .when(clean.rlike(_NAN), F.lit(float("nan")))
-    )
+    spelled = F.regexp_extract(strip(text), _FLOAT, 1)  # empty where nothing matches
+    return remove(spelled, "_").try_cast("double")
 
 
 def float_text(number: Column) -> Column:

@@ -19,8 +19,9 @@ from lakeline.functions.text import (
 from lakeline.operators.counting import by_count, count_by, having_over
 from lakeline.operators.rows import split_rejects
 
-# What a login line of the month holds, and where its user stands.
-LOGIN_NEEDLES = ("dovecot: ", "Jun ", "imap-login: Login")
+# What a login line of the month holds (the rarest first, since a line is
+# dropped at the first one it lacks), and where its user stands.
+LOGIN_NEEDLES = ("imap-login: Login", "Jun ", "dovecot: ")
 USER_TOKEN = 7
 USER_START = "=<"
 USER_END = ">,"

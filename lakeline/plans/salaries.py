@@ -21,17 +21,19 @@ def parse_salaries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Lines with fewer than two tokens are neither.
     """
+    good, rejected = split_rejects(_parsed(lines), F.col("salary").isNotNull())
+    return good.select("salary", "name"), rejected.select("value")
+
+
+def top_salaries(lines: DataFrame, k: int = TOP) -> DataFrame:
+    return top_k(_parsed(lines).select("salary", "name"), k, "salary", ties=["name"])
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
     line = strip(F.col("value"))
     # Two tokens or more is the same as a separator somewhere, and cheaper to test.
     long_enough = lines.where(line.contains(SEPARATOR))
     words = tokens(line, SEPARATOR)
     name = F.concat(F.get(words, F.lit(0)), F.lit(", "), F.get(words, F.lit(1)))
     salary = lenient_double(remove(F.try_element_at(words, F.lit(SALARY_TOKEN)), CURRENCY))
-    parsed = long_enough.select("value", salary.alias("salary"), strip_right(name).alias("name"))
-    good, rejected = split_rejects(parsed, F.col("salary").isNotNull())
-    return good.select("salary", "name"), rejected.select("value")
-
-
-def top_salaries(lines: DataFrame, k: int = TOP) -> DataFrame:
-    parsed, _ = parse_salaries(lines)
-    return top_k(parsed, k, "salary", ties=["name"])
+    return long_enough.select("value", salary.alias("salary"), strip_right(name).alias("name"))
