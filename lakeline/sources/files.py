@@ -13,8 +13,6 @@ from pyspark.sql.types import StructType
 from lakeline.config import CsvOptions
 from lakeline.schemas import MESSAGE, READING
 
-_TEXT_TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """One row per line, blank lines included; splits large files across tasks.
@@ -95,8 +93,6 @@ def read_sensor_csv(spark: SparkSession, path: str, schema: StructType = READING
         .option("pathGlobFilter", "*.csv")
         .option("header", True)
         .option("enforceSchema", False)
-        .option("timestampFormat", _TEXT_TIME)
-        .option("timestampNTZFormat", _TEXT_TIME)
         .csv(path)
     )
 
@@ -106,8 +102,6 @@ def read_sensor_json(spark: SparkSession, path: str, schema: StructType = READIN
     return (
         spark.read.schema(schema)
         .option("pathGlobFilter", "*.json")
-        .option("timestampFormat", _TEXT_TIME)
-        .option("timestampNTZFormat", _TEXT_TIME)
         .json(path)
     )
 
