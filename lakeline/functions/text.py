@@ -16,13 +16,15 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The spellings Python's float() accepts, once stripped: an underscore only
-# between two digits, and a number, infinity or nan. Group 1 leaves out the sign of a signed
-# nan, which Spark does not take. Only single characters repeat, so long text is no danger.
+# The spellings Python's float() accepts, once underscores between digits are
+# gone. Group 1 leaves out the outer whitespace, and the sign of a signed nan, which Spark
+# does not take. Only single characters repeat, so long text is no danger.
 _FLOAT = (
-    r"(?i)^(?!.*(?<![0-9])_)(?!.*_(?![0-9]))(?:[+-](?=n))?"
-    r"([+-]?(?:[0-9_]+(?:\.[0-9_]*)?|\.[0-9_]+)(?:e[+-]?[0-9_]+)?|[+-]?inf(?:inity)?|nan)$"
+    rf"^[{WHITESPACE}]*(?:[+-](?=[nN]))?"
+    r"([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:[+-]?inf(?:inity)?|nan))"
+    rf"[{WHITESPACE}]*$"
 )
+_INNER_UNDERSCORE = "(?<=[0-9])_(?=[0-9])"
 
 
 def strip(text: Column) -> Column:
@@ -30,10 +32,19 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def strip_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE))
+
+
 def strip_right(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE))
 
 
+def ends_in_ink(text: Column) -> Column:
+    """True where the text ends in a visible ASCII character, so that there is nothing to strip."""
+    return F.substring(text, -1, 1).between("!", "~")
+
+
 def contains_all(text: Column, needles: Iterable[str]) -> Column:
     """True where ``text`` holds every needle, anywhere and case-sensitively."""
     return reduce(lambda a, b: a & b, (text.contains(n) for n in needles))
@@ -45,10 +56,10 @@ def tokens(text: Column, sep: str) -> Column:
 
 
 def token(text: Column, sep: str, index: int) -> Column:
-    """The token at ``index``, NULL when the line is too short.
+    """The token at ``index``, counted from the back when negative; NULL when there is none.
 
-    Counts from the back when negative. A front token splits no further than it
-    has to, so a long line costs no more than its first few tokens.
+    A front token splits no further than it has to, so a long line costs no more
+    than its first few tokens.
     """
     if index < 0:
         return F.try_element_at(tokens(text, sep), F.lit(index))
@@ -74,8 +85,9 @@ def lenient_double(text: Column) -> Column:
     ``try_cast`` alone also takes ``1.5f``, ``2d`` and hexadecimal floats, and
     refuses ``1_000`` and ``+nan``.
     """
-    spelled = F.regexp_extract(strip(text), _FLOAT, 1)  # empty where nothing matches
-    return remove(spelled, "_").try_cast("double")
+    joined = F.when(text.contains("_"), F.regexp_replace(text, _INNER_UNDERSCORE, ""))
+    spelled = F.regexp_extract(F.coalesce(joined, text), _FLOAT, 1)
+    return spelled.try_cast("double")  # empty where nothing matched, so NULL
 
 
 def float_text(number: Column) -> Column:

@@ -11,8 +11,10 @@ from lakeline.functions.text import (
     after_last,
     collapse_spaces,
     contains_all,
+    ends_in_ink,
     remove,
     strip,
+    strip_left,
     strip_right,
     token,
 )
@@ -38,9 +40,14 @@ def login_events(
     Tokens are cut at single spaces, so a day padded with a second space shifts
     them by one; ``collapse`` treats a run of spaces as one.
     """
-    line = strip(F.col("value"))
+    line = F.col("value")
     logins = lines.where(contains_all(line, needles))
-    cut = collapse_spaces(line) if collapse else line
+    # Lines are stripped: what a needle's own outer spaces match must not be at the line's end.
+    spaced = [needle for needle in needles if needle != needle.strip()]
+    if spaced:
+        logins = logins.where(ends_in_ink(line) | contains_all(strip(line), spaced))
+    # Leading whitespace would shift the tokens, trailing only ends up in the last one.
+    cut = collapse_spaces(strip_left(line)) if collapse else strip_left(line)
     user = remove(after_last(token(cut, " ", USER_TOKEN), USER_START), USER_END)
     parsed = logins.withColumn("username", strip_right(user))
     good, rejected = split_rejects(parsed, F.col("username") != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.functions.text import lenient_double, remove, strip, strip_right, tokens
+from lakeline.functions.text import lenient_double, remove, strip_left, strip_right, tokens
 from lakeline.operators.counting import top_k
 from lakeline.operators.rows import split_rejects
 
@@ -30,10 +30,12 @@ def top_salaries(lines: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    line = strip(F.col("value"))
+    line = F.col("value")
     # Two tokens or more is the same as a separator somewhere, and cheaper to test.
     long_enough = lines.where(line.contains(SEPARATOR))
-    words = tokens(line, SEPARATOR)
-    name = F.concat(F.get(words, F.lit(0)), F.lit(", "), F.get(words, F.lit(1)))
+    words = tokens(line, SEPARATOR)  # written once, split once per projected row
+    # Stripping the ends of the name and of the amount also strips the line's own.
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    name = strip_right(F.concat(strip_left(first), F.lit(", "), second))
     salary = lenient_double(remove(F.try_element_at(words, F.lit(SALARY_TOKEN)), CURRENCY))
-    return long_enough.select("value", salary.alias("salary"), strip_right(name).alias("name"))
+    return long_enough.select("value", salary.alias("salary"), name.alias("name"))
