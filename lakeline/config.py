@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql.types import StructType
@@ -32,10 +32,28 @@ class Target:
     options: Mapping[str, str] = field(default_factory=dict, repr=False)
     schema: StructType | None = None
 
+    @classmethod
+    def load(cls, path: str) -> Target:
+        """A target from a JSON or YAML file with ``format``, ``options`` and, for a
+        collection, a ``schema`` in DDL form."""
+        found = _read_mapping(Path(path))
+        schema = StructType.fromDDL(found["schema"]) if found.get("schema") else None
+        options = {key: str(value) for key, value in found.get("options", {}).items()}
+        return cls(found["format"], options, schema)
+
     @property
     def path(self) -> str | None:
         return self.options.get("path")
 
+    def named(self, name: str) -> Target:
+        """The same store, another collection, table or directory."""
+        options = dict(self.options)
+        if self.path is not None:
+            options["path"] = f"{self.path.rstrip('/')}/{name}"
+        else:
+            options["dbtable" if self.format == "jdbc" else "collection"] = name
+        return replace(self, options=options)
+
 
 class DocTarget(Target):
     """A document collection: a document store, or files of JSON lines."""
@@ -66,6 +84,8 @@ class TableTarget(Target):
 
     @classmethod
     def jdbc(cls, url: str, table: str, **options: str) -> TableTarget:
+        """A database table. ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+        ``numPartitions`` together let many tasks read it."""
         return cls("jdbc", {"url": url, "dbtable": table, **options})
 
     @classmethod

@@ -31,12 +31,17 @@ def sensor_metrics(readings: DataFrame, measurement: str = "measurement") -> Dat
     ``average_measurement`` skips NULL but takes the burnt-out mark as a value;
     ``average_valid`` leaves both out.
     """
+    return readings.agg(*metric_columns(measurement))
+
+
+def metric_columns(measurement: str = "measurement") -> list[Column]:
+    """The aggregates of ``sensor_metrics``."""
     value = F.col(measurement)
-    return readings.agg(
+    return [
         F.avg(value).alias("average_measurement"),
         F.count_if(is_invalid(value)).alias("count_invalid_measurements"),
         F.avg(valid_or_null(value)).alias("average_valid"),
-    )
+    ]
 
 
 def class_counts(

@@ -133,6 +133,12 @@ _MIXED = f"""
               THEN {_FLOAT} END AS measurement
   FROM ({SENSORS})"""
 
+# Documents keep their time to the second.
+_DOCUMENTS = f"""
+  SELECT id, sensor_id, sensor_type, measurement,
+         date_trunc('second', "timestamp") AS "timestamp", 'c' AS op, true AS has_row
+  FROM ({SENSORS})"""
+
 ORACLE: dict[str, str] = {
     "login_events": "SELECT 'u' || user_id AS username FROM events WHERE event_type = 'click'",
     "login_counts": _LOGINS,
@@ -182,10 +188,7 @@ ORACLE: dict[str, str] = {
     "cdc_metrics": _metrics(SENSORS, _FLOAT),
     "cdc_changes": f"SELECT op, has_row, count(*) AS n FROM ({_MIXED}) GROUP BY ALL",
     "cdc_changes_metrics": _metrics(_MIXED),
-    "cdc_docs_decode": f"""
-      SELECT id, sensor_id, sensor_type, measurement,
-             date_trunc('second', "timestamp") AS "timestamp", 'c' AS op, true AS has_row
-      FROM ({SENSORS})""",
+    "cdc_docs_decode": _DOCUMENTS,
     "sensor_metrics": _metrics(SENSORS),
     "sensor_classes": f"""
       SELECT {_CLASS} AS class, count(*) AS n FROM ({SENSORS}) GROUP BY 1""",
@@ -207,9 +210,11 @@ ORACLE: dict[str, str] = {
     "table_roundtrip": SENSORS,
     "migrate_table_to_docs": SENSORS,
     "migrate_docs_to_table": SENSORS,
+    "migrate_metrics": _BOTH.format(_metrics(SENSORS)),
     "metrics_dual_sink": _BOTH.format(_metrics(SENSORS)),
     "stream_cdc_metrics": _metrics(SENSORS, _FLOAT),
     "stream_json_sink": SENSORS,
+    "stream_docs_decode": _DOCUMENTS,
     "stream_buckets": _rounded_buckets(_CLOSED),
     "stream_smoothing": _smoothed(_CLOSED),
     "stream_online": _online("sensor_id"),

@@ -35,6 +35,7 @@ from lakeline.operators.sensors import (
 from lakeline.operators.smoothing import smooth
 from lakeline.plans.enrolments import summaries
 from lakeline.plans.mail_logins import login_counts, login_events
+from lakeline.plans.migration import migrate_readings
 from lakeline.plans.payroll import payroll_lines, title_counts
 from lakeline.plans.salaries import parse_salaries, top_salaries
 from lakeline.plans.sensor_lake import lake_metrics, refresh
@@ -64,8 +65,8 @@ from lakeline.streaming import (
     latest_state,
     run_to_end,
     start_json_sink,
+    start_keyed_state,
     start_running_metrics,
-    start_state_updates,
     windowed_means,
 )
 from lakeline.streaming.jobs import DRAIN
@@ -488,6 +489,25 @@ def _(spark, sf_dir):
     return read_target(spark, target)
 
 
+@query("migrate_metrics")
+def _(spark, sf_dir):
+    """The metrics a migration saves to both stores while it copies."""
+    base = scratch_path(spark, "migration")
+    source = TableTarget.parquet_files(f"{base}/table")
+    save(_sensors(spark, sf_dir), source)
+    rows = TableTarget.parquet_files(f"{base}/metrics-table")
+    docs = DocTarget.json_files(f"{base}/metrics-docs")
+    metrics = migrate_readings(
+        spark, source, DocTarget.json_files(f"{base}/docs"), [docs, rows]
+    )
+    return _rounded_metrics(
+        _both(
+            read_docs(spark, DocTarget(docs.format, docs.options, metrics.schema)),
+            read_target(spark, rows),
+        )
+    )
+
+
 @query("metrics_dual_sink")
 def _(spark, sf_dir):
     metrics = sensor_metrics(_sensors(spark, sf_dir))
@@ -529,6 +549,16 @@ def _(spark, sf_dir):
     return V.wall_clock(saved, "timestamp")
 
 
+@query("stream_docs_decode")
+def _(spark, sf_dir):
+    base = scratch_path(spark, "docs-decode")
+    messages = V.document_envelopes(_sensor_stream(spark, sf_dir))
+    decoded = decode_document_envelopes(messages, extra=ENVELOPE_KEYS)
+    run_to_end(start_json_sink(decoded, f"{base}/out", f"{base}/checkpoint", DRAIN))
+    saved = spark.read.schema(decoded.schema).json(f"{base}/out")
+    return V.wall_clock(saved, "timestamp")
+
+
 def _closed_buckets(spark, sf_dir):
     base = scratch_path(spark, "buckets")
     means = windowed_means(_sensor_stream(spark, sf_dir), ["sensor_type"])
@@ -553,7 +583,7 @@ def _state_of(spark, aggregated, keys, label):
     docs = DocTarget.json_files(f"{base}/docs")
     rows = TableTarget.parquet_files(f"{base}/table")
     run_to_end(
-        start_state_updates(aggregated, keys, [docs, rows], f"{base}/checkpoint", DRAIN)
+        start_keyed_state(aggregated, keys, [docs, rows], f"{base}/checkpoint", DRAIN)
     )
     return V.wall_clock(latest_state(read_target(spark, rows), keys), "last_seen")
 

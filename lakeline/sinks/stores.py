@@ -36,7 +36,10 @@ def write_table(
 
 
 def migrate(spark: SparkSession, source: Target, target: Target, mode: str = "append") -> None:
-    """Copy a whole store into another, straight from the readers' tasks to the writers'."""
+    """Copy a whole store into another, straight from the readers' tasks to the writers'.
+
+    A table is read by one task unless its target names a partition column.
+    """
     save(read_target(spark, source), target, mode)
 
 

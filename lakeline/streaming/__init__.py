@@ -4,8 +4,8 @@ from lakeline.streaming.jobs import (
     latest_state,
     run_to_end,
     start_json_sink,
+    start_keyed_state,
     start_running_metrics,
-    start_state_updates,
     windowed_means,
 )
 
@@ -13,7 +13,7 @@ __all__ = [
     "latest_state",
     "run_to_end",
     "start_json_sink",
+    "start_keyed_state",
     "start_running_metrics",
-    "start_state_updates",
     "windowed_means",
 ]

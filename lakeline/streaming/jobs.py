@@ -72,23 +72,26 @@ def start_json_sink(
     return _start(writer, checkpoint, trigger)
 
 
-def start_state_updates(
+def start_keyed_state(
     aggregated: DataFrame,
     keys: Sequence[str],
     targets: Sequence[Target],
     checkpoint: str,
     trigger: Trigger | None = None,
+    history: bool = True,
 ) -> StreamingQuery:
-    """Save, per micro-batch, the rows of a keyed aggregate that changed in it.
+    """Save a keyed aggregate, such as health or last readings per sensor, per micro-batch.
 
-    Only changed sensors are written, however many there are; ``latest_state``
-    reads the current row of each.
+    With ``history`` only the sensors that changed are written, and ``latest_state``
+    reads the current row of each; the stored batches add up. Without it every
+    micro-batch replaces the stored table by the whole state.
     """
 
-    def save_batch(changed: DataFrame, batch_id: int) -> None:
-        write_metrics(changed, targets, batch_id, keys)
+    def save_batch(rows: DataFrame, batch_id: int) -> None:
+        write_metrics(rows, targets, batch_id if history else None, keys)
 
-    writer = aggregated.writeStream.outputMode("update").foreachBatch(save_batch)
+    mode = "update" if history else "complete"
+    writer = aggregated.writeStream.outputMode(mode).foreachBatch(save_batch)
     return _start(writer, checkpoint, trigger)
 
 

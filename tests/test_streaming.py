@@ -26,8 +26,8 @@ from lakeline.streaming import (
     latest_state,
     run_to_end,
     start_json_sink,
+    start_keyed_state,
     start_running_metrics,
-    start_state_updates,
     windowed_means,
 )
 from lakeline.streaming.jobs import DRAIN
@@ -166,7 +166,7 @@ def test_state_updates_hold_only_what_changed(spark, topic, folder):
     keys = ["sensor_type"]
     readings = decoded(spark, topic).where("has_row")
     run_to_end(
-        start_state_updates(
+        start_keyed_state(
             last_readings(readings, keys), keys, [table], folder("checkpoint"), DRAIN
         )
     )
@@ -179,14 +179,19 @@ def test_state_updates_hold_only_what_changed(spark, topic, folder):
     assert [r.sensor_type for r in online_at(state, as_of, datetime.timedelta(minutes=59)).collect()] == ["u"]
 
 
-def test_health_on_a_stream(spark, topic, folder):
+@pytest.mark.parametrize("history", [True, False])
+def test_health_on_a_stream(spark, topic, folder, history):
     fill(topic)
     table = TableTarget.parquet_files(folder("table"))
     keys = ["sensor_type"]
     counts = health_counts(decoded(spark, topic).where("has_row"), keys)
-    run_to_end(start_state_updates(counts, keys, [table], folder("checkpoint"), DRAIN))
+    run_to_end(
+        start_keyed_state(counts, keys, [table], folder("checkpoint"), DRAIN, history=history)
+    )
     expected = health_counts(decoded_batch(spark, topic).where("has_row"), keys)
-    state = latest_state(read_target(spark, table), keys)
+    state = read_target(spark, table)
+    if history:
+        state = latest_state(state, keys)
     assert rows(state.select(expected.columns)) == rows(expected)
 
 
