@@ -23,10 +23,14 @@ def rollup(
     timestamp: str = "timestamp",
     ranges: ReadingRanges = ReadingRanges(),
 ) -> DataFrame:
-    """Mergeable totals per sensor and time bucket."""
+    """Mergeable totals per sensor and time bucket; readings without a time share a NULL bucket."""
     value = F.col(measurement)
     kind = reading_class(value, ranges)
-    grouped = readings.groupBy(*keys, F.window(timestamp, width)).agg(
+    # A window leaves out rows without a time, so they are grouped under a stand-in.
+    stand_in = F.lit(0).cast("timestamp").cast(readings.schema[timestamp].dataType)
+    timed = F.col(timestamp).isNotNull().alias("_timed")
+    bucket = F.window(F.coalesce(F.col(timestamp), stand_in), width).alias("_bucket")
+    grouped = readings.groupBy(*keys, timed, bucket).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(kind == name).alias(f"n_{name}") for name in CLASSES],
         F.count(value).alias("n_measured"),
@@ -35,8 +39,9 @@ def rollup(
         F.max(timestamp).alias("last_seen"),
         F.max_by(value, timestamp).alias("last_measurement"),
     )
-    totals = [c for c in grouped.columns if c not in (*keys, "window")]
-    return grouped.select(*keys, F.col("window.start").alias("bucket"), *totals)
+    totals = [c for c in grouped.columns if c not in (*keys, "_timed", "_bucket")]
+    start = F.when(F.col("_timed"), F.col("_bucket.start"))
+    return grouped.select(*keys, start.alias("bucket"), *totals)
 
 
 def total_metrics(totals: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def total_health(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def total_means(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The bucket means ``bucket_means`` gives over the readings; nothing is regrouped."""
-    return totals.select(
+    return totals.where(F.col("bucket").isNotNull()).select(
         *keys,
         "bucket",
         "n",

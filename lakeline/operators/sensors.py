@@ -105,7 +105,10 @@ def bucket_means(
     measurement: str = "measurement",
     timestamp: str = "timestamp",
 ) -> DataFrame:
-    """Mean reading per sensor and time bucket, over all readings and over the valid ones."""
+    """Mean reading per sensor and time bucket, over all readings and over the valid ones.
+
+    A reading without a time belongs to no bucket.
+    """
     value = F.col(measurement)
     means = readings.groupBy(*keys, F.window(timestamp, width)).agg(
         F.count(F.lit(1)).alias("n"),

@@ -30,7 +30,7 @@ READINGS = "sensor string, measurement double, timestamp timestamp"
 
 @pytest.fixture(scope="module")
 def readings(spark):
-    """Half of 4000 readings come from one sensor; some are silent, burnt out or far off."""
+    """Half of 4000 readings come from one sensor; some are silent, burnt out, far off or undated."""
     rng = random.Random(7)
     values = [None, -1.0, 80.0, 100.0, 90.5, 20.0, 45.0, 45.5, 79.9, 0.0]
     data = [
@@ -41,6 +41,7 @@ def readings(spark):
         )
         for i in range(4000)
     ]
+    data += [("hot", 90.0, None), ("timeless", -1.0, None), (None, 30.0, START)]
     return spark.createDataFrame(data, READINGS).cache()
 
 
