@@ -6,17 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import types as T
 
-READING_FIELDS = (
-    T.StructField("sensor_type", T.StringType()),
-    T.StructField("measurement", T.DoubleType()),
-    T.StructField("timestamp", T.TimestampType()),
-)
-
 #: A reading as the lake files hold it.
-READING = T.StructType(list(READING_FIELDS))
-
-#: A reading as the relational table holds it.
-SENSOR_TABLE = T.StructType([T.StructField("id", T.LongType()), *READING_FIELDS])
+READING = T.StructType(
+    [
+        T.StructField("sensor_type", T.StringType()),
+        T.StructField("measurement", T.DoubleType()),
+        T.StructField("timestamp", T.TimestampType()),
+    ]
+)
 
 #: Rows of files that stand in for a message topic.
 MESSAGE = T.StructType([T.StructField("value", T.StringType())])

@@ -35,6 +35,15 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, **options: str) -> Dat
     return spark.readStream.schema(schema).options(**options).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def _rendered(df: DataFrame, line: Column, *keep: str) -> DataFrame:
+    """Rows as text lines in ``value``.
+
+    A stored line is there once, but the optimizer would render a computed one
+    again for every test on it; unpacking a one-element array keeps it from that.
+    """
+    return df.select(F.explode(F.array(line)).alias("value"), *keep)
+
+
 def sensors(events: DataFrame) -> DataFrame:
     """Readings per sensor; error events stand for burnt-out sensors, half of them silent."""
     burnt_out = F.when(F.col("event_id") % 2 == 0, F.lit(-1.0))
@@ -61,37 +70,35 @@ def mail_log(events: DataFrame) -> DataFrame:
     """Server log lines; clicks are logins, everything else an aborted one."""
     day = F.lpad((F.dayofmonth("ts") % 20 + 10).cast("string"), 2, "0")
     action = F.when(F.col("event_type") == "click", "Login").otherwise("Aborted login")
-    return events.select(
-        F.concat(
-            F.lit("Jun "),
-            day,
-            F.lit(" "),
-            F.date_format("ts", "HH:mm:ss"),
-            F.lit(" mailhost dovecot: imap-login: "),
-            action,
-            F.lit(": user=<u"),
-            F.col("user_id"),
-            F.lit(">, method=PLAIN"),
-        ).alias("value")
+    line = F.concat(
+        F.lit("Jun "),
+        day,
+        F.lit(" "),
+        F.date_format("ts", "HH:mm:ss"),
+        F.lit(" mailhost dovecot: imap-login: "),
+        action,
+        F.lit(": user=<u"),
+        F.col("user_id"),
+        F.lit(">, method=PLAIN"),
     )
+    return _rendered(events, line)
 
 
 def salaries(customer: DataFrame, balance: Column | None = None) -> DataFrame:
     """Salary list lines with a quoted name of two tokens and two amounts."""
     amount = F.col("c_acctbal").cast("string") if balance is None else balance
-    return customer.select(
-        F.concat(
-            F.lit('"'),
-            F.col("c_name"),
-            F.lit(",X"),
-            F.col("c_custkey"),
-            F.lit('",'),
-            F.col("c_mktsegment"),
-            F.lit(",$"),
-            amount,
-            F.lit(",$0.00"),
-        ).alias("value")
+    line = F.concat(
+        F.lit('"'),
+        F.col("c_name"),
+        F.lit(",X"),
+        F.col("c_custkey"),
+        F.lit('",'),
+        F.col("c_mktsegment"),
+        F.lit(",$"),
+        amount,
+        F.lit(",$0.00"),
     )
+    return _rendered(customer, line)
 
 
 def bracketed_debts() -> Column:
@@ -104,7 +111,7 @@ def bracketed_debts() -> Column:
 def payroll(orders: DataFrame, *keep: str) -> DataFrame:
     """Payroll lines: a person and a job title, with repeated rows."""
     line = F.concat(F.col("o_custkey"), F.lit(";"), F.col("o_orderpriority"))
-    return orders.select(line.alias("value"), *keep)
+    return _rendered(orders, line, *keep)
 
 
 def students(orders: DataFrame) -> DataFrame:
