@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         settings={
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "8",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
     )
