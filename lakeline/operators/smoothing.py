@@ -21,46 +21,26 @@ def smooth(
 
     One key may hold most of the buckets, so its history is cut into calendar
     segments (``segment``: a ``date_trunc`` unit) that are averaged in parallel.
-    Each segment first receives the last ``size - 1`` buckets before it, however
-    far back they lie, so the result equals one window over the whole key.
+    That settles every bucket but the first few of a segment, which look back
+    across its start. They see the same neighbours among the first and last few
+    buckets of all segments, and those are few enough for one window per key.
+    The result equals one window over the whole of each key.
     """
     reach = size - 1
     with_data = buckets.where(F.col(value).isNotNull()).withColumn(
         "_segment", F.date_trunc(segment, bucket)
     )
-    parts = [*keys, "_segment"]
-    if reach > 0:
-        carried = _carried_in(with_data, keys, parts, bucket, value, reach)
-        with_data = with_data.withColumn("_carried", F.lit(False)).unionByName(
-            carried, allowMissingColumns=True
-        )
-    else:
-        with_data = with_data.withColumn("_carried", F.lit(False))
-    trailing = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(-reach, 0)
-    return (
-        with_data.withColumn(name, F.avg(value).over(trailing))
-        .where(~F.col("_carried"))
-        .drop("_segment", "_carried")
-    )
-
-
-def _carried_in(
-    buckets: DataFrame, keys: Sequence[str], parts: list[str], bucket: str, value: str, reach: int
-) -> DataFrame:
-    """For each segment, the last ``reach`` buckets of its key before the segment."""
-    newest_first = Window.partitionBy(*parts).orderBy(F.desc(bucket))
-    tails = (
-        buckets.select(*parts, bucket, value)
-        .withColumn("_rank", F.row_number().over(newest_first))
-        .where(F.col("_rank") <= reach)
-        .groupBy(*parts)
-        .agg(F.sort_array(F.collect_list(F.struct(bucket, value))).alias("_tail"))
-    )
-    # Every segment holds at least one bucket, so `reach` segments back are enough.
-    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(-reach, -1)
-    lead_in = F.flatten(F.collect_list("_tail").over(before))
-    return (
-        tails.select(*parts, F.slice(F.reverse(lead_in), 1, reach).alias("_lead_in"))
-        .select(*parts, F.explode("_lead_in").alias("_bucket"))
-        .select(*parts, f"_bucket.{bucket}", f"_bucket.{value}", F.lit(True).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_segment").orderBy(bucket)
+    averaged = with_data.withColumns(
+        {
+            name: F.avg(value).over(inside.rowsBetween(-reach, 0)),
+            "_position": F.row_number().over(inside),
+            "_later": F.lead(bucket, reach).over(inside),
+        }
     )
+    first = F.col("_position") <= reach
+    last = F.col("_later").isNull()
+    across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(-reach, 0)
+    edges = averaged.where(first | last).withColumn(name, F.avg(value).over(across))
+    result = averaged.where(~first).unionByName(edges.where(first))
+    return result.drop("_segment", "_position", "_later")
