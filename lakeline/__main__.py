@@ -21,7 +21,7 @@ from lakeline.plans import mail_logins, salaries  # noqa: E402
 from lakeline.plans.enrolments import load_students  # noqa: E402
 from lakeline.plans.migration import migrate_readings  # noqa: E402
 from lakeline.plans.payroll import payroll_lines, title_counts  # noqa: E402
-from lakeline.plans.sensor_lake import lake_metrics, refresh  # noqa: E402
+from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates  # noqa: E402
 from lakeline.session import build_session  # noqa: E402
 from lakeline.sinks import write_tsv  # noqa: E402
 from lakeline.sources import read_kafka, read_lines  # noqa: E402
@@ -52,8 +52,16 @@ def _enrolments(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _lake(spark: SparkSession, args: argparse.Namespace) -> None:
-    metrics = lake_metrics(spark, args.input, args.key or ("sensor_type",))
-    refresh(metrics, {name: [t.named(name) for t in _metric_stores(args)] for name in metrics})
+    keys = args.key or ("sensor_type",)
+    stores = _metric_stores(args)
+    if args.checkpoint:
+        metrics = [t.named("sensor_metrics") for t in stores]
+        health = [t.named("sensor_health_counts") for t in stores]
+        for update in start_lake_updates(spark, args.input, metrics, health, args.checkpoint, keys):
+            update.awaitTermination()
+        return
+    tables = lake_metrics(spark, args.input, keys)
+    refresh(tables, {name: [t.named(name) for t in stores] for name in tables})
 
 
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -115,6 +123,7 @@ def parser() -> argparse.ArgumentParser:
 
     job = add("lake", _lake, "input", help="refresh sensor metrics from the lake directory")
     job.add_argument("--key", action="append", help="column that tells sensors apart; repeatable")
+    job.add_argument("--checkpoint", help="update from files not read before, remembered here")
     add_stores(job)
 
     job = add("stream", _stream, help="cumulative sensor metrics from a topic")

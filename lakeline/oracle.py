@@ -213,6 +213,8 @@ ORACLE: dict[str, str] = {
     "migrate_metrics": _BOTH.format(_metrics(SENSORS)),
     "metrics_dual_sink": _BOTH.format(_metrics(SENSORS)),
     "stream_cdc_metrics": _metrics(SENSORS, _FLOAT),
+    "stream_lake_metrics": f"""
+      SELECT *, (SELECT count(*) FROM events) AS n FROM ({_BOTH.format(_metrics(SENSORS))})""",
     "stream_json_sink": SENSORS,
     "stream_docs_decode": _DOCUMENTS,
     "stream_buckets": _rounded_buckets(_CLOSED),

@@ -1,4 +1,4 @@
-"""Refresh sensor metrics from the lake directory."""
+"""Refresh sensor metrics from the lake directory, from all of it or from its new files."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from lakeline.config import Target
 from lakeline.operators.rollup import rollup, total_health, total_last, total_means, total_metrics
-from lakeline.operators.sensors import HOUR, newest, online_at, with_status
+from lakeline.operators.sensors import HOUR, health_counts, newest, online_at, with_status
 from lakeline.operators.smoothing import smooth
 from lakeline.session import scratch_path
 from lakeline.sinks.stores import write_metrics
-from lakeline.sources.files import read_sensor_lake
+from lakeline.sources.files import read_sensor_lake, stream_sensor_lake
+from lakeline.streaming.jobs import DRAIN, Trigger, start_keyed_state, start_running_metrics
 
 
 def lake_metrics(
@@ -50,3 +52,33 @@ def refresh(
     """Replace each named metric in its targets."""
     for name, stores in targets.items():
         write_metrics(metrics[name], stores)
+
+
+def start_lake_updates(
+    spark: SparkSession,
+    path: str,
+    metric_targets: Sequence[Target],
+    health_targets: Sequence[Target],
+    checkpoint: str,
+    keys: Sequence[str] = ("sensor_type",),
+    trigger: Trigger = DRAIN,
+) -> list[StreamingQuery]:
+    """Bring the metrics and the health counts up to date with files not read before.
+
+    Both are cumulative and replace what the targets hold; the checkpoint keeps
+    the totals so far and the names of the files they cover.
+    """
+    readings = stream_sensor_lake(spark, path)
+    return [
+        start_running_metrics(
+            readings, metric_targets, f"{checkpoint}/metrics", trigger, history=False
+        ),
+        start_keyed_state(
+            health_counts(readings, keys),
+            keys,
+            health_targets,
+            f"{checkpoint}/health",
+            trigger,
+            history=False,
+        ),
+    ]

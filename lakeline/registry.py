@@ -38,7 +38,7 @@ from lakeline.plans.mail_logins import login_counts, login_events
 from lakeline.plans.migration import migrate_readings
 from lakeline.plans.payroll import payroll_lines, title_counts
 from lakeline.plans.salaries import parse_salaries, top_salaries
-from lakeline.plans.sensor_lake import lake_metrics, refresh
+from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates
 from lakeline.schemas import READING
 from lakeline.session import scratch_path
 from lakeline.sinks import (
@@ -374,13 +374,18 @@ def _readings(spark, sf_dir):
     return _sensors(spark, sf_dir).select("sensor_type", "measurement", "timestamp")
 
 
-def _write_lake(spark, sf_dir):
-    """Half of the sensors send CSV files to the lake, the others JSON files."""
-    path = scratch_path(spark, "lake")
+def _lake_halves(spark, sf_dir):
+    """Some sensors send CSV files to the lake, the others JSON files."""
     readings = _readings(spark, sf_dir)
     sends_csv = F.col("sensor_type").isin("click", "view", "error")
-    write_lake_csv(readings.where(sends_csv), path)
-    write_lake_json(readings.where(~sends_csv), path)
+    return readings.where(sends_csv), readings.where(~sends_csv)
+
+
+def _write_lake(spark, sf_dir):
+    path = scratch_path(spark, "lake")
+    as_csv, as_json = _lake_halves(spark, sf_dir)
+    write_lake_csv(as_csv, path)
+    write_lake_json(as_json, path)
     return path
 
 
@@ -540,6 +545,23 @@ def _(spark, sf_dir):
     return _rounded_metrics(newest_first.drop("batch_id"))
 
 
+@query("stream_lake_metrics")
+def _(spark, sf_dir):
+    """CSV files arrive first and JSON files later; the second run reads the new files only."""
+    lake = scratch_path(spark, "lake")
+    base = scratch_path(spark, "lake-updates")
+    docs, rows = DocTarget.json_files(f"{base}/docs"), TableTarget.parquet_files(f"{base}/table")
+    health = TableTarget.parquet_files(f"{base}/health")
+    for write, arriving in zip((write_lake_csv, write_lake_json), _lake_halves(spark, sf_dir)):
+        write(arriving, lake)
+        for update in start_lake_updates(spark, lake, [docs, rows], [health], f"{base}/checkpoint"):
+            run_to_end(update)
+    metrics = read_target(spark, rows)
+    saved = read_docs(spark, DocTarget(docs.format, docs.options, metrics.schema))
+    counted = read_target(spark, health).agg(F.sum("n").alias("n"))
+    return _rounded_metrics(_both(saved, metrics)).withColumn("n", counted.scalar())
+
+
 @query("stream_json_sink")
 def _(spark, sf_dir):
     base = scratch_path(spark, "json-sink")

@@ -9,6 +9,7 @@ from lakeline.sources.files import (
     read_sensor_csv,
     read_sensor_json,
     read_sensor_lake,
+    stream_sensor_lake,
 )
 from lakeline.sources.kafka import kafka_options, read_kafka
 from lakeline.sources.stores import jdbc_options, read_docs, read_jdbc, read_target
@@ -28,4 +29,5 @@ __all__ = [
     "read_sensor_json",
     "read_sensor_lake",
     "read_target",
+    "stream_sensor_lake",
 ]

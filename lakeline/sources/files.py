@@ -6,8 +6,9 @@ import codecs
 import re
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
 from lakeline.config import CsvOptions
@@ -88,22 +89,12 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
 
 def read_sensor_csv(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
     """All ``.csv`` files of a lake directory, with a header line each."""
-    return (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", "*.csv")
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    return _sensor_csv(spark.read, path, schema)
 
 
 def read_sensor_json(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
     """All ``.json`` files of a lake directory: one object, or one array of them, per line."""
-    return (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-    )
+    return _sensor_json(spark.read, path, schema)
 
 
 def read_sensor_lake(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
@@ -111,6 +102,37 @@ def read_sensor_lake(spark: SparkSession, path: str, schema: StructType = READIN
     return read_sensor_csv(spark, path, schema).unionByName(read_sensor_json(spark, path, schema))
 
 
+def stream_sensor_lake(
+    spark: SparkSession, path: str, schema: StructType = READING, **options: str
+) -> DataFrame:
+    """The lake directory as a stream: a job that resumes from its checkpoint reads new files only.
+
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a micro-batch.
+    """
+    return _sensor_csv(spark.readStream.options(**options), path, schema).unionByName(
+        _sensor_json(spark.readStream.options(**options), path, schema)
+    )
+
+
+def _sensor_csv(
+    reader: DataFrameReader | DataStreamReader, path: str, schema: StructType
+) -> DataFrame:
+    # The header must agree with the schema instead of being ignored.
+    return (
+        reader.schema(schema)
+        .option("pathGlobFilter", "*.csv")
+        .option("header", True)
+        .option("enforceSchema", False)
+        .csv(path)
+    )
+
+
+def _sensor_json(
+    reader: DataFrameReader | DataStreamReader, path: str, schema: StructType
+) -> DataFrame:
+    return reader.schema(schema).option("pathGlobFilter", "*.json").json(path)
+
+
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """Lines of ``key<TAB>value``; the value may hold further tabs."""
     pair = F.split("value", "\t", 2)

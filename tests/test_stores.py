@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeline.config import DocTarget, TableTarget
 from lakeline.operators.sensors import class_counts, sensor_metrics
-from lakeline.plans.sensor_lake import lake_metrics, refresh
+from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates
 from lakeline.sinks import (
     migrate,
     save,
@@ -177,3 +177,20 @@ def test_dashboard_from_the_lake(spark, lake, folder):
     assert (health.n, health.n_normal, health.n_invalid, health.status) == (5, 2, 3, "faulty")
     assert rows(tables["sensors_online"]) == [("t", T0.replace(second=4), None)]
     assert tables["sensor_smoothing"].count() == 1
+
+
+def test_lake_updates_read_new_files_only(spark, lake, tmp_path, folder):
+    table, health = TableTarget.parquet_files(folder("t")), TableTarget.parquet_files(folder("h"))
+
+    def update():
+        queries = start_lake_updates(spark, lake, [table], [health], folder("checkpoint"))
+        for query in queries:
+            query.awaitTermination()
+        read = sum(p.numInputRows for p in queries[0].recentProgress)
+        return read, rows(read_target(spark, table))[0], rows(read_target(spark, health))[0][1]
+
+    mean = (85.0 - 1.0 + 85.0) / 3
+    assert update() == (5, (mean, 3, 85.0), 5)
+    assert update() == (0, (mean, 3, 85.0), 5)
+    (tmp_path / "d.csv").write_text("sensor_type,measurement,timestamp\nt,95,2024-09-01 10:00:05\n")
+    assert update() == (1, (66.0, 3, pytest.approx(265.0 / 3)), 6)
