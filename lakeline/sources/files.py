@@ -39,7 +39,8 @@ def read_lines_without(
     numbered_files: list[str] = []
     kept: list[DataFrame] = []
     for file in sorted(_metadata_path(f) for f in spark.read.text(path).inputFiles()):
-        # Ids rise with the position in a file, and depend on the file alone.
+        # Ids rise with the position in the file; those of its first split are 0, 1, 2 and so on,
+        # however many cores read the rest.
         lines = text.where(F.col("_file") == file).withColumn(
             "_id", F.monotonically_increasing_id()
         )
