@@ -175,7 +175,8 @@ ORACLE: dict[str, str] = {
     "enrol_top5_by_admission": _top5("admission = '1-URGENT'"),
     "enrol_top5_in_period": _top5(f"admission = '1-URGENT' AND {_IN_1997}"),
     "enrol_job": f"""
-      SELECT 'sisu' AS collection, count(*) AS n FROM ({STUDENTS}) WHERE admission = '1-URGENT'
+      SELECT 'students' AS collection, count(*) AS n FROM orders
+      UNION ALL SELECT 'sisu', count(*) FROM ({STUDENTS}) WHERE admission = '1-URGENT'
       UNION ALL SELECT 'sexo', count(DISTINCT sex) FROM ({STUDENTS})
       UNION ALL SELECT 'cursos', least(5, count(DISTINCT course)) FROM ({STUDENTS})
       UNION ALL SELECT 'sisu_masculino', count(*) FROM ({STUDENTS})
@@ -207,6 +208,7 @@ ORACLE: dict[str, str] = {
     "lake_smoothing": _BOTH.format(_smoothed()),
     "lake_online": _BOTH.format(_online("sensor_type")),
     "docs_roundtrip": SENSORS,
+    "docs_append": SENSORS,
     "table_roundtrip": SENSORS,
     "migrate_table_to_docs": SENSORS,
     "migrate_docs_to_table": SENSORS,

@@ -43,6 +43,8 @@ def load_students(
     target: Callable[[str | None], DocTarget] | None = None,
     mode: str = "errorifexists",
     staging: str | None = None,
+    admission: str = ADMISSION,
+    sex: str = SEX,
     columns: StudentColumns = COLUMNS,
 ) -> dict[str, DataFrame]:
     """Save the students and each summary once; a failing write is raised.
@@ -60,7 +62,7 @@ def load_students(
         students.write.mode(mode).parquet(staging)
         students = spark.read.parquet(staging)
     write_docs(students, target(None), mode)
-    results = summaries(students, columns=columns)
+    results = summaries(students, admission, sex, columns)
     for collection, result in results.items():
         write_docs(result, target(collection), mode)
     return results

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeline import testviews as V
-from lakeline.config import CsvOptions, DocTarget, TableTarget
+from lakeline.config import DocTarget, JobConfig, TableTarget
 from lakeline.operators import enrolment
 from lakeline.operators.cdc import changed_rows, decode_document_envelopes, decode_envelopes
 from lakeline.operators.counting import count_by
@@ -33,7 +33,7 @@ from lakeline.operators.sensors import (
     with_status,
 )
 from lakeline.operators.smoothing import smooth
-from lakeline.plans.enrolments import summaries
+from lakeline.plans.enrolments import load_students
 from lakeline.plans.mail_logins import login_counts, login_events
 from lakeline.plans.migration import migrate_readings
 from lakeline.plans.payroll import payroll_lines, title_counts
@@ -269,22 +269,25 @@ def _(spark, sf_dir):
 
 @query("enrol_job")
 def _(spark, sf_dir):
-    """The whole job: students to a CSV file, back, and each summary saved to its collection."""
+    """The whole job: a CSV file of students, then every collection the job saved, by size."""
     base = scratch_path(spark, "enrolment")
-    written = _students(spark, sf_dir).select("id", "admission", "sex", "course")
-    written.write.option("header", True).option("sep", ";").csv(f"{base}/input")
-    loaded = read_csv(spark, f"{base}/input", CsvOptions(schema=written.schema))
-    results = summaries(loaded, ADMISSION, SEX, V.STUDENT_COLUMNS)
-    saved = []
-    for collection, result in results.items():
-        target = DocTarget.json_files(f"{base}/{collection}", result.schema)
-        write_docs(result, target)
-        rows = read_docs(spark, target).agg(F.count(F.lit(1)).alias("n"))
-        saved.append(rows.select(F.lit(collection).alias("collection"), "n"))
-    union = saved[0]
-    for part in saved[1:]:
-        union = union.unionByName(part)
-    return union
+    students = _students(spark, sf_dir).select("id", "admission", "sex", "course")
+    students.write.option("header", True).option("sep", ";").csv(f"{base}/input")
+    results = load_students(
+        spark,
+        JobConfig(input_path=f"{base}/input", collection="students"),
+        lambda name: DocTarget.json_files(f"{base}/{name or 'students'}"),
+        staging=f"{base}/staging",
+        admission=ADMISSION,
+        sex=SEX,
+        columns=V.STUDENT_COLUMNS,
+    )
+    sizes = None
+    for name, frame in {"students": students, **results}.items():
+        saved = read_docs(spark, DocTarget.json_files(f"{base}/{name}", frame.schema))
+        size = enrolment.how_many(saved).select(F.lit(name).alias("collection"), "n")
+        sizes = size if sizes is None else sizes.unionByName(size)
+    return sizes
 
 
 # --- change data capture ----------------------------------------------------
@@ -468,6 +471,17 @@ def _(spark, sf_dir):
     return read_docs(spark, target)
 
 
+@query("docs_append")
+def _(spark, sf_dir):
+    """Bulk inserts: one per kind of sensor into the same collection."""
+    target = DocTarget.json_files(scratch_path(spark, "docs"), SENSOR_DOC)
+    readings = _sensors(spark, sf_dir)
+    burnt_out = F.col("sensor_type") == "error"
+    write_docs(readings.where(burnt_out), target, "append")
+    write_docs(readings.where(~burnt_out), target, "append")
+    return read_docs(spark, target)
+
+
 @query("table_roundtrip")
 def _(spark, sf_dir):
     target = TableTarget.parquet_files(scratch_path(spark, "table"))
