@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from unittest import mock
 
 import pytest
 
@@ -104,3 +105,15 @@ def test_scratch_lies_in_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith(base) and first != second
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    def session(master):
+        stand_in = mock.Mock()
+        stand_in.conf.get.return_value = None
+        stand_in.sparkContext.master = master
+        return stand_in
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(session("spark://example.invalid:7077"), "x")
+    assert "lakeline-" in scratch_path(session("local[2]"), "x")
