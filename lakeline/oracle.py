@@ -141,6 +141,10 @@ _DOCUMENTS = f"""
 
 ORACLE: dict[str, str] = {
     "login_events": "SELECT 'u' || user_id AS username FROM events WHERE event_type = 'click'",
+    "login_rejects": """
+      SELECT 'Jun ' || lpad(CAST(day(ts) % 20 + 10 AS VARCHAR), 2, '0') || strftime(ts, ' %H:%M:%S')
+             || ' mailhost dovecot: imap-login: Login: user=<>, method=PLAIN' AS value
+      FROM events WHERE event_type = 'view'""",
     "login_counts": _LOGINS,
     "login_counts_tsv": _LOGINS,
     "salary_parse": _SALARIES,

@@ -146,6 +146,12 @@ def _(spark, sf_dir):
     return good
 
 
+@query("login_rejects")
+def _(spark, sf_dir):
+    _good, rejected = login_events(V.mail_log(_events(spark, sf_dir), nameless="view"))
+    return rejected
+
+
 @query("login_counts")
 def _(spark, sf_dir):
     return login_counts(V.mail_log(_events(spark, sf_dir)), LOGIN_THRESHOLD)

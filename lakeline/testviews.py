@@ -66,10 +66,16 @@ def wall_clock(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def mail_log(events: DataFrame) -> DataFrame:
-    """Server log lines; clicks are logins, everything else an aborted one."""
+def mail_log(events: DataFrame, nameless: str | None = None) -> DataFrame:
+    """Server log lines; clicks are logins, everything else an aborted one.
+
+    Events of the ``nameless`` type become logins without a user.
+    """
     day = F.lpad((F.dayofmonth("ts") % 20 + 10).cast("string"), 2, "0")
-    action = F.when(F.col("event_type") == "click", "Login").otherwise("Aborted login")
+    kind = F.col("event_type")
+    no_name = (kind == nameless) if nameless else F.lit(False)
+    action = F.when((kind == "click") | no_name, "Login").otherwise("Aborted login")
+    user = F.when(no_name, "").otherwise(F.concat(F.lit("u"), F.col("user_id")))
     line = F.concat(
         F.lit("Jun "),
         day,
@@ -77,8 +83,8 @@ def mail_log(events: DataFrame) -> DataFrame:
         F.date_format("ts", "HH:mm:ss"),
         F.lit(" mailhost dovecot: imap-login: "),
         action,
-        F.lit(": user=<u"),
-        F.col("user_id"),
+        F.lit(": user=<"),
+        user,
         F.lit(">, method=PLAIN"),
     )
     return _rendered(events, line)
