@@ -38,3 +38,12 @@ def reading_class(measurement: Column, ranges: ReadingRanges = ReadingRanges())
         .when(measurement.between(*ranges.outlier), "outlier")
         .otherwise("unexpected")
     )
+
+
+def last_of(measurement: Column, timestamp: Column) -> Column:
+    """Aggregate: the last reading as ``(timestamp, measurement)``, the largest of several at once.
+
+    Its buffer is a struct, which makes Spark sort before it aggregates.
+    """
+    reading = F.struct(timestamp.alias("timestamp"), measurement.alias("measurement"))
+    return F.max(F.when(timestamp.isNotNull(), reading))

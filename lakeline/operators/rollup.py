@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.functions.readings import CLASSES, ReadingRanges, reading_class, valid_or_null
+from lakeline.functions.readings import (
+    CLASSES,
+    ReadingRanges,
+    last_of,
+    reading_class,
+    valid_or_null,
+)
 
 
 def rollup(
@@ -22,9 +28,21 @@ def rollup(
     measurement: str = "measurement",
     timestamp: str = "timestamp",
     ranges: ReadingRanges = ReadingRanges(),
+    repeatable: bool = False,
 ) -> DataFrame:
-    """Mergeable totals per sensor and time bucket; readings without a time share a NULL bucket."""
+    """Mergeable totals per sensor and time bucket; readings without a time share a NULL bucket.
+
+    Of several readings at the last instant of a bucket any may be its last;
+    ``repeatable`` takes the largest, at the price of a sort.
+    """
     value = F.col(measurement)
+    if repeatable:
+        last = [last_of(value, F.col(timestamp)).alias("_last")]
+    else:
+        last = [
+            F.max(timestamp).alias("last_seen"),
+            F.max_by(value, timestamp).alias("last_measurement"),
+        ]
     kind = reading_class(value, ranges)
     # A window leaves out rows without a time, so they are grouped under a stand-in.
     stand_in = F.lit(0).cast("timestamp").cast(readings.schema[timestamp].dataType)
@@ -36,9 +54,14 @@ def rollup(
         F.count(value).alias("n_measured"),
         F.sum(value).alias("sum_measured"),
         F.sum(valid_or_null(value)).alias("sum_valid"),
-        F.max(timestamp).alias("last_seen"),
-        F.max_by(value, timestamp).alias("last_measurement"),
+        *last,
     )
+    if repeatable:
+        grouped = grouped.select(
+            "*",
+            F.col("_last.timestamp").alias("last_seen"),
+            F.col("_last.measurement").alias("last_measurement"),
+        ).drop("_last")
     totals = [c for c in grouped.columns if c not in (*keys, "_timed", "_bucket")]
     start = F.when(F.col("_timed"), F.col("_bucket.start"))
     return grouped.select(*keys, start.alias("bucket"), *totals)

@@ -1,8 +1,8 @@
 """Sensor metrics: quality, health, bucket means and who is online.
 
-The aggregating functions work unchanged on a stream. They use hash aggregates
-with fixed-width buffers, so a sensor that sends a third of all readings is
-reduced inside each task before anything is shuffled.
+The aggregating functions work unchanged on a stream. Every aggregate is partial
+before the shuffle, so a sensor that sends a third of all readings leaves each
+task as one row; all but the repeatable last reading aggregate by hash.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from lakeline.functions.readings import (
     CLASSES,
     ReadingRanges,
     is_invalid,
+    last_of,
     reading_class,
     valid_or_null,
 )
@@ -131,12 +132,22 @@ def last_readings(
     keys: Sequence[str],
     measurement: str = "measurement",
     timestamp: str = "timestamp",
+    repeatable: bool = False,
 ) -> DataFrame:
     """Time and value of the last reading of every sensor.
 
-    Two readings of one sensor at the same microsecond have no order; either may win.
+    When a sensor has several readings at its last instant, any of them may be
+    taken; ``repeatable`` takes the largest, at the price of a sort.
     """
-    return readings.groupBy(*keys).agg(
+    grouped = readings.groupBy(*keys)
+    if repeatable:
+        last = grouped.agg(last_of(F.col(measurement), F.col(timestamp)).alias("_last"))
+        return last.select(
+            *keys,
+            F.col("_last.timestamp").alias("last_seen"),
+            F.col("_last.measurement").alias("last_measurement"),
+        )
+    return grouped.agg(
         F.max(timestamp).alias("last_seen"),
         F.max_by(measurement, timestamp).alias("last_measurement"),
     )
@@ -161,7 +172,8 @@ def sensors_online(
 
     A sensor is online exactly when it has a reading inside the horizon, so the
     horizon filters the readings first: the bounds are constants of the time
-    column's own type, and the scan can skip all older data.
+    column's own type, and the scan can skip all older data. Of several readings
+    at the last instant the largest is shown.
     """
     seen = F.col(timestamp)
     if as_of is None:
@@ -172,7 +184,7 @@ def sensors_online(
     else:
         now = _column(as_of).cast(readings.schema[timestamp].dataType)
         recent = readings.where((seen >= now - F.lit(horizon)) & (seen <= now))
-    return last_readings(recent, keys, measurement, timestamp)
+    return last_readings(recent, keys, measurement, timestamp, repeatable=True)
 
 
 def newest(readings: DataFrame, timestamp: str = "timestamp") -> Column:

@@ -26,15 +26,19 @@ def lake_metrics(
     horizon: datetime.timedelta = HOUR,
     width: str = "1 hour",
     staging: str | None = None,
+    repeatable: bool = True,
 ) -> dict[str, DataFrame]:
     """Every dashboard table over all files of the directory.
 
+    Lake files keep times to the second, so a sensor may well have several last
+    readings: ``repeatable`` shows the largest, else any is taken, a little faster.
+
     The files are read and parsed once, into a rollup stored as Parquet at
     ``staging`` (by default in the shared scratch folder); the tables are lazy
     and read only that.
     """
     staging = staging or scratch_path(spark, "rollup")
-    rollup(read_sensor_lake(spark, path), keys, width).write.parquet(staging)
+    rollup(read_sensor_lake(spark, path), keys, width, repeatable=repeatable).write.parquet(staging)
     totals = spark.read.parquet(staging)
     now = newest(totals, "last_seen") if as_of is None else as_of
     return {

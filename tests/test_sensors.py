@@ -150,6 +150,24 @@ def plain_smooth(buckets, size):
     return valid.withColumn("smoothed", F.avg("average_valid").over(window))
 
 
+def test_largest_of_several_last_readings(spark):
+    data = [("a", v, START) for v in (3.0, None, 9.0, 5.0)] + [
+        ("a", 99.0, START - MINUTE), ("b", None, START), ("c", 7.0, None),
+    ]
+    df = spark.createDataFrame(data, READINGS).repartition(4)
+    expected = [("a", START, 9.0), ("b", START, None), ("c", None, None)]
+    assert rows(last_readings(df, ["sensor"], repeatable=True)) == expected
+    assert rows(total_last(rollup(df, ["sensor"], repeatable=True), ["sensor"])) == expected
+    assert rows(sensors_online(df, ["sensor"])) == expected[:2]
+
+
+def test_repeatable_last_readings_agree_with_the_others(readings):
+    keys = ["sensor"]
+    plain = rows(last_readings(readings, keys))
+    assert rows(last_readings(readings, keys, repeatable=True)) == plain
+    assert rows(total_last(rollup(readings, keys, repeatable=True), keys)) == plain
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 40])
 @pytest.mark.parametrize("segment", ["day", "hour", "year"])
 def test_smoothing_in_segments_equals_one_window(readings, size, segment):
