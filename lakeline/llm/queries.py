@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeline.llm.common import read_table
 from lakeline.llm.copies import mark_copies
+from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.url_rules import judge_urls
 
@@ -30,3 +31,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read_table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
