@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakeline.llm.bpe import decode, encode
 from lakeline.llm.common import read_table
 from lakeline.llm.copies import mark_copies
 from lakeline.llm.near_copies import Likeness, near_copies
@@ -33,6 +35,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode(encode(read_table(spark, sf_dir, "documents")))
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
