@@ -270,7 +270,7 @@ def encode(
     a bounded number of known ones, and the rest of a batch is encoded as a trie; a
     word of any length takes time in proportion to its length.
     """
-    source = _read(vocabulary)
+    source = read_vocabulary(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(source.value))
@@ -292,7 +292,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str | None = None)
     Null ids give a null text, no ids an empty one; ids the vocabulary lacks are
     passed over.
     """
-    source = rows.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    source = rows.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = rows.withColumn("decoded", F.lit("")).schema
     place = rows.columns.index(ids_col)
 
@@ -311,7 +311,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str | None = None)
     return rows.mapInArrow(decoded, kind)
 
 
-def _read(vocabulary: str | None) -> str:
+def read_vocabulary(vocabulary: str | None) -> str:
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as file:
         return file.read()
 

@@ -12,6 +12,7 @@ from lakeline.llm.common import read_table
 from lakeline.llm.copies import mark_copies
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
+from lakeline.llm.packing import pack
 from lakeline.llm.url_rules import judge_urls
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -47,6 +48,11 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
