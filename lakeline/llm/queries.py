@@ -13,6 +13,7 @@ from lakeline.llm.copies import mark_copies
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
+from lakeline.llm.toxicity import held_out, learn, score
 from lakeline.llm.url_rules import judge_urls
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -53,6 +54,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    lexicon = learn(docs, read_table(spark, sf_dir, "labels"))
+    return score(docs, lexicon).select(
+        "doc_id",
+        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @register
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
