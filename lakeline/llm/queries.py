@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeline.llm.bpe import decode, encode
@@ -13,6 +13,7 @@ from lakeline.llm.copies import mark_copies
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
+from lakeline.llm.personal_data import KINDS, find_spans
 from lakeline.llm.toxicity import held_out, learn, score
 from lakeline.llm.url_rules import judge_urls
 
@@ -54,6 +55,26 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(read_table(spark, sf_dir, "documents"))
+    counts = [_count_of(kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans")
+    )
+
+
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long")
+
+
+def _listed(spans: str) -> Column:
+    """``kind:start:end``, joined by commas."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ","
+    )
+
+
 @register
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
