@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +60,22 @@ class Staging:
                 if "/" + self.base.rsplit("/", 1)[-1] + "/" in path:
                     target = jvm.org.apache.hadoop.fs.Path(path)
                     target.getFileSystem(conf).delete(target, True)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of a column by which the batches are sorted."""
+    parts: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        keys = batch.column(column).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if start == end:
+                continue
+            if parts and keys[start] != value:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            value = keys[start]
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield pa.Table.from_batches(parts)

@@ -14,6 +14,7 @@ from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
 from lakeline.llm.personal_data import KINDS, find_spans
+from lakeline.llm.topk import top_k
 from lakeline.llm.toxicity import held_out, learn, score
 from lakeline.llm.url_rules import judge_urls
 
@@ -28,6 +29,11 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @register
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
@@ -89,4 +95,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(read_table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
+    likeness = Likeness(words=3, percent=85)
+    return near_copies(read_table(spark, sf_dir, "documents"), likeness).drop("text_key")
