@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeline.llm.bpe import decode, encode
 from lakeline.llm.common import read_table
 from lakeline.llm.copies import mark_copies
+from lakeline.llm.licences import find_licences
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
@@ -44,6 +45,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licences(read_table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decode(encode(read_table(spark, sf_dir, "documents")))
