@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.llm.common import Staging
+from lakeline.llm.common import Staging, runs
 from lakeline.llm.components import components
 from lakeline.llm.shingles import (
     WordHashes,
@@ -54,29 +54,35 @@ class Likeness:
 def near_copies(
     docs: DataFrame, likeness: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, n_shingles, component_id, kept, text_key``.
 
     Documents are linked when their sets of word shingles have a similarity of at
     least the threshold, and ``component_id`` is the smallest id that links reach.
-    Equal sets stand for one node. Nodes that share a band of minima are candidates:
-    each is compared with the smallest node of its buckets first, then, bucket by
-    bucket, only nodes that are not yet known to be connected, in tiles of bounded
-    size. Signatures sort out the unlikely pairs, full sets of whole texts confirm
-    the rest. Every pair that shares a band ends up confirmed, refuted or connected
-    through others, so buckets need no cap, and pairs of a group are not listed.
+    Equal sets stand for one node. Nodes that share a band of minima are candidates.
+    Each node is first compared with the bucket hub it shares most bands with, then
+    with another one if it is not yet connected with it. In buckets that still hold
+    several components, pairs of signatures are compared in tiles of bounded size,
+    and as few of the likely ones as connect them are written out: these give
+    clusters. Within a cluster every likely pair of different components is compared
+    on full sets of whole texts, in tiles again, and only links leave a tile. So
+    every pair that shares a band ends up confirmed, refuted or connected through
+    others: buckets need no cap, and the pairs of a group are never listed.
 
     Null text is empty; a text without words has no shingle and is linked with
     nothing. A row without id takes part in no link: its component is null, and it
-    is kept. Rows that repeat an id count each. An empty table gives an empty result.
+    is kept. Rows that repeat an id count each; ``text_key``, a hash of the text, tells
+    them apart. An empty table gives an empty result.
     """
     staging = Staging(docs.sparkSession, "near")
     raw = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("binary").alias("text"),
+        text_key(F.col(text_col)).alias("text_key"),
     )
     signed = staging.keep(
         raw.mapInArrow(
             _sign(likeness),
-            "doc_id long, n_shingles long, digest binary, signature binary, code binary",
+            "doc_id long, text_key long, n_shingles long, digest binary, signature binary, code binary",
         )
     )
     nodes = staging.keep(
@@ -94,51 +100,56 @@ def near_copies(
     )
     codes = signatures.select("node", "code")
 
-    def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs ``u > v`` that were looked at, and those that are links."""
-        asked = staging.keep(pairs)
+    def texts_for(ids: DataFrame) -> DataFrame:
+        wanted = raw.join(ids.distinct(), "doc_id", "left_semi")
+        return wanted.select(F.col("doc_id").alias("node"), "text")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``u > v`` that are links."""
         likely = staging.keep(
-            _side_by_side(asked, codes, "code").mapInArrow(
+            _side_by_side(pairs, codes, "code").mapInArrow(
                 _agreeing(likeness.least_agreement), "u long, v long"
             )
         )
-        ids = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = staging.keep(raw.join(ids, "doc_id", "left_semi"))
+        ids = likely.select(F.col("u").alias("doc_id")).union(likely.select("v"))
+        texts = staging.keep(texts_for(ids))
         links = staging.keep(
-            _side_by_side(likely, texts.withColumnRenamed("doc_id", "node"), "text").mapInArrow(
-                _linked(likeness), "u long, v long"
-            )
+            _side_by_side(likely, texts, "text").mapInArrow(_linked(likeness), "u long, v long")
         )
         staging.drop(likely, texts)
-        return asked, links
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(
-            "u > v"
-        )
+        return links
 
-    first = members.where("node > hub").groupBy("node").agg(F.min("hub").alias("hub"))
-    asked, links = confirm(first.selectExpr("node AS u", "hub AS v"))
+    asked = staging.keep(_best_hubs(members))
+    links = confirm(asked)
     roots = components(links, staging)
-    # What each step may still have to ask, from the cheapest question on.
-    steps: list[Callable[[DataFrame], DataFrame]] = [
-        lambda still: _hub_pairs(still),
-        lambda still: _tile_pairs(still, codes, likeness, forest=True),
-        lambda still: _tile_pairs(still, codes, likeness, forest=False),
-    ]
-    for step in steps:
+    still = staging.keep(_unsettled(members, roots))
+    if not still.isEmpty():
+        more = confirm(_best_hubs(still).join(asked, ["u", "v"], "left_anti"))
+        links = links.unionByName(more)
+        roots = components(links, staging)
         still = staging.keep(_unsettled(members, roots))
-        if still.isEmpty():
-            break
-        new = ordered(step(still)).distinct().join(asked, ["u", "v"], "left_anti")
-        more_asked, more = confirm(new)
-        asked, links = asked.unionByName(more_asked), links.unionByName(more)
-        if not more.isEmpty():
-            roots = components(links, staging)
+    if not still.isEmpty():
+        likely = staging.keep(_likely_pairs(still, codes, likeness))
+        clusters = components(likely, staging)
+        parts = staging.keep(
+            still.select("node", "root")
+            .distinct()
+            .join(clusters.selectExpr("node AS root", "root AS cluster"), "root")
+        )
+        texts = texts_for(parts.select(F.col("node").alias("doc_id")))
+        held = parts.join(codes, "node").join(texts, "node")
+        sizes = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        links = links.unionByName(
+            staging.keep(
+                _in_pieces(held.join(sizes, "cluster"), "cluster", ["root", "code", "text"])
+                .mapInArrow(_pairs_within(likeness, exact=True), "u long, v long")
+            )
+        )
+        roots = components(links, staging)
     node_of = nodes.join(roots, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("component")
     )
-    small = signed.select("doc_id", "n_shingles", "digest")
+    small = signed.select("doc_id", "text_key", "n_shingles", "digest")
     # Texts without words may be many and need no join.
     alone = small.where("digest IS NULL").withColumn("component", F.col("doc_id"))
     placed = small.where("digest IS NOT NULL").join(node_of, "digest", "left")
@@ -148,9 +159,24 @@ def near_copies(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_key",
     )
 
 
+def drop_near_copies(
+    docs: DataFrame, likeness: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The document with the smallest id of each component, with all its columns."""
+    losers = near_copies(docs, likeness, id_col, text_col).where(~F.col("kept"))
+    losers = losers.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = (docs[id_col].cast("long") == F.col("_id")) & (text_key(docs[text_col]) == F.col("_key"))
+    return docs.join(losers, same, "left_anti")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold nodes of more than one component."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -160,37 +186,42 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.where("low < high").select("bucket", "size"), "bucket")
 
 
-def _hub_pairs(still: DataFrame) -> DataFrame:
-    """Each member with its bucket's smallest node."""
-    hubs = still.where("node = hub").select("bucket", F.col("root").alias("hub_root")).distinct()
-    return still.join(hubs, "bucket").where("root <> hub_root").selectExpr("node AS a", "hub AS b")
+def _best_hubs(members: DataFrame) -> DataFrame:
+    """Each node, as ``u``, with the hub ``v`` of most of its buckets, if of another component."""
+    if "root" in members.columns:
+        hubs = members.where("node = hub").select("bucket", F.col("root").alias("hub_root"))
+        members = members.join(hubs.distinct(), "bucket").where("root <> hub_root")
+    counts = members.where("node > hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    best = F.max_by("hub", F.struct("shared", -F.col("hub")))
+    return counts.groupBy("node").agg(best.alias("v")).select(F.col("node").alias("u"), "v")
 
 
-def _tile_pairs(still: DataFrame, codes: DataFrame, likeness: Likeness, forest: bool) -> DataFrame:
-    """Pairs of a bucket in different components whose signatures agree.
+def _in_pieces(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows of a group of ``size`` nodes, cut into tiles; each pair of tiles is a piece.
 
-    A bucket is cut into tiles by the node's hash, and each pair of tiles is a piece.
+    Rows come sorted by piece, so a piece is read in one go.
     """
     tiles = F.ceil(F.col("size") / TILE)
-    own = F.pmod(F.xxhash64("node"), tiles)
-    pieces = (
-        still.withColumn("tiles", tiles)
-        .withColumn("own", own)
+    return (
+        rows.withColumn("tiles", tiles)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
-            F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("piece"),
+            F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("piece"),
             "node",
-            "root",
+            *columns,
         )
-    )
-    return (
-        pieces.join(codes, "node")
         .repartition("piece")
         .sortWithinPartitions("piece", "node")
-        .mapInArrow(_within(likeness.least_agreement, forest), "a long, b long")
     )
 
 
+def _likely_pairs(still: DataFrame, codes: DataFrame, likeness: Likeness) -> DataFrame:
+    """Pairs of components, as few as connect those with agreeing signatures in a bucket."""
+    pieces = _in_pieces(still.join(codes, "node"), "bucket", ["root", "code"])
+    return pieces.mapInArrow(_pairs_within(likeness, exact=False), "u long, v long").distinct()
+
+
 def _side_by_side(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """``u, v`` with the column of both nodes, those of one ``v`` next to each other."""
     of_v = table.select(F.col("node").alias("v"), F.col(column).alias("of_v"))
@@ -214,10 +245,10 @@ def _sign(likeness: Likeness) -> Callable[[Batches], Batches]:
                 digests.append(None if least is None else digest(found))
                 signatures.append(None if least is None else least.tobytes())
                 codes.append(None if least is None else (least & 0xFF).astype(np.uint8).tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64())]
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64())]
             columns += [pa.array(x, pa.binary()) for x in (digests, signatures, codes)]
             yield pa.RecordBatch.from_arrays(
-                columns, ["doc_id", "n_shingles", "digest", "signature", "code"]
+                columns, ["doc_id", "text_key", "n_shingles", "digest", "signature", "code"]
             )
 
     return sign
@@ -281,44 +312,47 @@ def _linked(likeness: Likeness) -> Callable[[Batches], Batches]:
     return linked
 
 
-def _within(least: int, forest: bool) -> Callable[[Batches], Batches]:
-    """Agreeing pairs of each piece; with ``forest`` only as many as connect them."""
+def _pairs_within(likeness: Likeness, exact: bool) -> Callable[[Batches], Batches]:
+    """Pairs of each piece, as few as connect its components.
+
+    Roots of components whose signatures agree; or, ``exact``, nodes that are linked.
+    """
+    least = likeness.least_agreement
+
+    def linked_in(piece: pa.Table, known: WordHashes) -> np.ndarray:
+        nodes, roots = piece.column("node").to_numpy(), piece.column("root").to_numpy()
+        raw = b"".join(piece.column("code").to_pylist())
+        codes = np.frombuffer(raw, np.uint8).reshape(len(nodes), -1)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                text = piece.column("text")[i].as_py() or b""
+                sets[i] = shingle_set(text, likeness.words, known)
+            return sets[i]
 
-    def pairs(nodes: np.ndarray, roots: np.ndarray, codes: np.ndarray) -> np.ndarray:
         group = np.unique(roots, return_inverse=True)[1]
         found = []
         for i in range(len(nodes) - 1):
-            near = (codes[i + 1 :] == codes[i]).sum(axis=1) >= least
-            for j in np.flatnonzero(near & (group[i + 1 :] != group[i])) + i + 1:
-                if group[j] != group[i] and nodes[j] != nodes[i]:
-                    found.append((nodes[i], nodes[j]))
-                    if forest:
-                        group[group == group[j]] = group[i]
+            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+            near = (codes[other] == codes[i]).sum(axis=1) >= least
+            for j in other[near]:
+                if group[j] == group[i]:
+                    continue
+                if not exact:
+                    found.append((max(roots[i], roots[j]), min(roots[i], roots[j])))
+                elif alike(set_of(i), set_of(j), likeness.percent):
+                    found.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+                else:
+                    continue
+                group[group == group[j]] = group[i]
         return np.array(found, np.int64).reshape(-1, 2)
 
-    def within(batches: Batches) -> Batches:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            piece = rest.column("piece").to_numpy()
-            if not len(piece):
-                continue
-            last = int(np.searchsorted(piece, piece[-1]))  # the last piece may go on
-            yield from found(rest.slice(0, last))
-            rest = rest.slice(last)
-        if rest is not None:
-            yield from found(rest)
-
-    def found(table: pa.Table) -> Batches:
-        if not table.num_rows:
-            return
-        piece, nodes, roots = (table.column(c).to_numpy() for c in ("piece", "node", "root"))
-        raw = b"".join(table.column("code").to_pylist())
-        codes = np.frombuffer(raw, np.uint8).reshape(len(nodes), -1)
-        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(piece)]
-        for start, end in zip(edges, edges[1:], strict=False):
-            a, b = pairs(nodes[start:end], roots[start:end], codes[start:end]).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def pairs(batches: Batches) -> Batches:
+        known = WordHashes()
+        for piece in runs(batches, "piece"):
+            if piece.num_rows > 1:
+                u, v = linked_in(piece, known).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return within
+    return pairs
