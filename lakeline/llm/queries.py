@@ -14,6 +14,7 @@ from lakeline.llm.licences import find_licences
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
+from lakeline.llm.passages import shared_passages
 from lakeline.llm.personal_data import KINDS, find_spans
 from lakeline.llm.topk import top_k
 from lakeline.llm.toxicity import held_out, learn, score
@@ -40,6 +41,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+@register
+def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(read_table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(read_table(spark, sf_dir, "documents"))
