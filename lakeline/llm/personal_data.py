@@ -283,16 +283,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             found = [find(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _structs([b for b, _ in found]), _structs([c for _, c in found])],
+                [batch.column(0), _structs([b for b, _ in found]), _structs([c for _, c in found], 4)],
                 ["doc_id", "base", "candidates"],
             )
 
     return texts_of(docs, id_col, text_col).mapInArrow(scanned, schema)
 
 
-def _structs(rows: list[list[tuple]]) -> pa.Array:
+def _structs(rows: list[list[tuple]], width: int = 3) -> pa.Array:
     names = ("kind", "start", "stop", "key")
-    width = max((len(r) for row in rows for r in row), default=3)
     types = (pa.string(), pa.int32(), pa.int32(), pa.string())
     kind = pa.list_(pa.struct(list(zip(names, types, strict=True))[:width]))
     return pa.array([[dict(zip(names, r, strict=False)) for r in row] for row in rows], kind)
@@ -332,26 +331,85 @@ def find_spans(
     )
 
 
-def _decided(model: SpanModel, threshold: float) -> Callable[[Batches], Batches]:
-    order = {kind: i for i, kind in enumerate((*KINDS, *ADDED_KINDS))}
+class _Likely:
+    """The spans of a text by the model, each key judged once."""
+
+    def __init__(self, model: SpanModel, threshold: float) -> None:
+        self._model = model
+        self._threshold = threshold
+        self._known: dict[str, bool] = {}
+        self._order = {kind: i for i, kind in enumerate((*KINDS, *ADDED_KINDS))}
+
+    def _judge(self, key: str) -> bool:
+        if key not in self._known:
+            table = np.array([[int(x) for x in key.split(",")]])
+            self._known[key] = bool(self._model.probability(table)[0] >= self._threshold)
+        return self._known[key]
+
+    def spans(self, base: list[dict], candidates: list[dict]) -> list[tuple[str, int, int]]:
+        found = [*base, *(c for c in candidates if self._judge(c["key"]))]
+        spans = [(s["kind"], s["start"], s["stop"]) for s in found]
+        return sorted(spans, key=lambda s: (s[1], self._order[s[0]]))
 
+
+def _decided(model: SpanModel, threshold: float) -> Callable[[Batches], Batches]:
     def decided(batches: Batches) -> Batches:
-        known: dict[str, bool] = {}
+        likely = _Likely(model, threshold)
         for batch in batches:
-            candidates = batch.column(2).to_pylist()
-            new = {c["key"] for row in candidates for c in row}.difference(known)
-            if new:
-                names = sorted(new)
-                table = np.array([[int(x) for x in k.split(",")] for k in names])
-                likely = model.probability(table) >= threshold
-                known.update(zip(names, likely.tolist(), strict=True))
-            rows = []
-            for base, more in zip(batch.column(1).to_pylist(), candidates, strict=True):
-                spans = [(s["kind"], s["start"], s["stop"]) for s in base]
-                spans += [(c["kind"], c["start"], c["stop"]) for c in more if known[c["key"]]]
-                rows.append(sorted(spans, key=lambda s: (s[1], order[s[0]])))
+            pairs = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            spans = _structs([likely.spans(*pair) for pair in pairs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _structs(rows)], ["doc_id", "base", "spans"]
+                [batch.column(0), batch.column(1), spans], ["doc_id", "base", "spans"]
             )
 
     return decided
+
+
+def mask(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents with each span replaced by its kind in brackets, such as ``[EMAIL]``.
+
+    Other columns stay, but for ``n_chars``, which is counted anew. Spans that overlap
+    are replaced as one, by the kind of the first. Null text stays null.
+    """
+    staging = Staging(docs.sparkSession, "masking")
+    place, found = docs.columns.index(text_col), f"{text_col}_candidates"
+    while found in docs.columns:
+        found += "_"
+    kind = "struct<base:array<{0}>,candidates:array<{1}>>".format(SPAN, SPAN[:-1] + ",key:string>")
+    schema = docs.withColumn(found, F.lit(None).cast(kind)).schema
+
+    def scanned(batches: Batches) -> Batches:
+        for batch in batches:
+            spans = [find(t or "") for t in batch.column(place).to_pylist()]
+            parts = [_structs([s[0] for s in spans]), _structs([s[1] for s in spans], 4)]
+            column = pa.StructArray.from_arrays(parts, ["base", "candidates"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], schema.names)
+
+    kept = staging.keep(docs.mapInArrow(scanned, schema))
+    model = learn_spans(kept.select(F.col(f"{found}.candidates").alias("candidates")))
+
+    def masked(batches: Batches) -> Batches:
+        likely = _Likely(model, threshold)
+        for batch in batches:
+            texts = []
+            spans = batch.column(len(schema.names) - 1).to_pylist()
+            for text, row in zip(batch.column(place).to_pylist(), spans, strict=True):
+                texts.append(text if text is None else blotted(text, likely.spans(row["base"], row["candidates"])))
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema.names[:-1])
+
+    result = kept.mapInArrow(masked, docs.schema)
+    if "n_chars" in docs.columns:
+        counted = F.length(text_col).cast(docs.schema["n_chars"].dataType)
+        result = result.withColumn("n_chars", counted)
+    return result
+
+
+def blotted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    parts, free = [], 0
+    for kind, start, stop in spans:
+        if start >= free:
+            parts += [text[free:start], f"[{kind.upper()}]"]
+        free = max(free, stop)
+    return "".join([*parts, text[free:]])

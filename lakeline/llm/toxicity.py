@@ -345,3 +345,18 @@ def score(
             )
 
     return texts_of(docs, id_col, text_col).mapInArrow(scored, "doc_id long, score double")
+
+
+def drop_toxic(
+    docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """The documents with a score below the threshold, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Batches) -> Batches:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            keep = [matcher.score(t or "") < threshold for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
