@@ -292,10 +292,10 @@ def find_licences(
     )
     words = F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != "")
     staging = Staging(spark, "licences")
-    staged = staging.keep(lines.select("doc_id", "paragraph", words.alias("words")))
+    row = F.monotonically_increasing_id().alias("row")  # written down, so it stays what it is
+    numbered = staging.keep(lines.select(row, "doc_id", "paragraph", words.alias("words")))
     # Staged as well, so that its rows do not stand in every plan.
     table = staging.keep(_table(spark, model))
-    numbered = staged.withColumn("row", F.monotonically_increasing_id())
     hits = numbered.select("row", F.explode(_grams(F.col("words"))).alias("gram")).join(
         F.broadcast(table), "gram"
     )
