@@ -110,6 +110,7 @@ class JobConfig:
     """Settings of the enrolment job. Addresses and paths have no built-in default."""
 
     url: str | None = field(default=None, repr=False)
+    # Where the students go.
     database: str = "discentes_2024"
     collection: str = "discentes"
     delimiter: str = ";"

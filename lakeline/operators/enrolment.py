@@ -15,6 +15,7 @@ from lakeline.operators.counting import count_by, top_k
 class StudentColumns:
     """Where the student table keeps what the queries need."""
 
+    # Names of the student file.
     admission: str = "forma_ingresso"
     sex: str = "sexo"
     course: str = "nome_curso"

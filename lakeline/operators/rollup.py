@@ -67,6 +67,17 @@ def rollup(
     return grouped.select(*keys, start.alias("bucket"), *totals)
 
 
+def merge_rollups(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per sensor and bucket from rollups of parts of the readings."""
+    sums = [c for c in totals.columns if c.startswith(("n", "sum_")) and c not in keys]
+    merged = totals.groupBy(*keys, "bucket").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.max("last_seen").alias("last_seen"),
+        F.max_by("last_measurement", "last_seen").alias("last_measurement"),
+    )
+    return merged.select(totals.columns)
+
+
 def total_metrics(totals: DataFrame) -> DataFrame:
     """The single row ``sensor_metrics`` gives over the readings."""
     n_invalid = F.coalesce(F.sum("n_invalid"), F.lit(0))

@@ -92,9 +92,14 @@ def sensor_health(
     min_valid_ratio: float = 0.5,
     timestamp: str = "timestamp",
 ) -> DataFrame:
-    """Health of every sensor at ``as_of``; by default at the time of the newest reading."""
+    """Health of every sensor at ``as_of``; by default at the time of the newest reading.
+
+    Readings after ``as_of`` do not count; those without a time do.
+    """
     if as_of is None:
         as_of = newest(readings, timestamp)
+    else:
+        readings = known_at(readings, as_of, timestamp)
     counts = health_counts(readings, keys, timestamp=timestamp)
     return with_status(counts, as_of, horizon, min_valid_ratio)
 
@@ -156,8 +161,12 @@ def last_readings(
 def online_at(
     last: DataFrame, as_of: Column | datetime.datetime, horizon: datetime.timedelta = HOUR
 ) -> DataFrame:
-    """Sensors whose last reading lies within the horizon before ``as_of``."""
-    return last.where(F.col("last_seen") >= _column(as_of) - F.lit(horizon))
+    """Sensors whose last reading lies within the horizon before ``as_of``.
+
+    ``last`` must know no later readings: take it from ``known_at``.
+    """
+    now, seen = _column(as_of), F.col("last_seen")
+    return last.where((seen >= now - F.lit(horizon)) & (seen <= now))
 
 
 def sensors_online(
@@ -187,6 +196,15 @@ def sensors_online(
     return last_readings(recent, keys, measurement, timestamp, repeatable=True)
 
 
+def known_at(
+    readings: DataFrame, as_of: Column | datetime.datetime, timestamp: str = "timestamp"
+) -> DataFrame:
+    """Readings up to ``as_of``, and those without a time; a plain comparison that reaches the scan."""
+    seen = F.col(timestamp)
+    now = _column(as_of).cast(readings.schema[timestamp].dataType)
+    return readings.where(seen.isNull() | (seen <= now))
+
+
 def newest(readings: DataFrame, timestamp: str = "timestamp") -> Column:
     """The newest reading time as a scalar subquery over that one column."""
     return readings.agg(F.max(timestamp)).scalar()

@@ -46,10 +46,14 @@ _CLASS = f"""
        ELSE 'unexpected' END"""
 
 
-def _health(keys: str) -> str:
+_NEWEST = "(SELECT max(ts) FROM events)"
+_AS_OF = "TIMESTAMP '2024-01-15 12:30:00'"
+
+
+def _health(keys: str, now: str = _NEWEST) -> str:
     return f"""
       SELECT *, {_round('n_normal / n')} AS valid_ratio,
-             CASE WHEN last_seen < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'offline'
+             CASE WHEN last_seen < {now} - INTERVAL 1 HOUR THEN 'offline'
                   WHEN n_normal / n < 0.5 THEN 'faulty' ELSE 'ok' END AS status
       FROM (
         SELECT {keys}, count(*) AS n,
@@ -59,7 +63,7 @@ def _health(keys: str) -> str:
                count(*) FILTER (WHERE kind = 'unexpected') AS n_unexpected,
                {_round("avg(measurement) FILTER (WHERE kind <> 'invalid')")} AS average_valid,
                max("timestamp") AS last_seen
-        FROM (SELECT *, {_CLASS} AS kind FROM ({SENSORS}))
+        FROM (SELECT *, {_CLASS} AS kind FROM ({SENSORS}) WHERE "timestamp" <= {now})
         GROUP BY ALL)"""
 
 
@@ -88,12 +92,16 @@ def _smoothed(where: str = "true") -> str:
       FROM ({_BUCKETS}) WHERE n_valid > 0 AND {where}"""
 
 
-def _online(key: str) -> str:
+def _online(key: str, now: str = _NEWEST) -> str:
     return f"""
       SELECT {key}, max("timestamp") AS last_seen,
              arg_max_null(measurement, "timestamp") AS last_measurement
-      FROM ({SENSORS}) GROUP BY 1
-      HAVING max("timestamp") >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+      FROM ({SENSORS}) WHERE "timestamp" <= {now} GROUP BY {key}
+      HAVING max("timestamp") >= {now} - INTERVAL 1 HOUR"""
+
+
+def _seen(key: str) -> str:
+    return f"SELECT {key}, last_seen FROM ({_online(key)})"
 
 
 # A result saved to both stores and read back from each.
@@ -105,15 +113,10 @@ _LOGINS = f"""
 
 _SALARIES = f"SELECT c_acctbal AS salary, {_SALARY_NAME} AS name FROM customer"
 
+# The payroll without its rule line, which is a title of its own if it stays.
 _TITLES = """
   SELECT o_orderpriority AS title, count(*) AS n
-  FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM {rows}) GROUP BY 1"""
-
-# The file is sorted by line, and the second line goes before copies are removed.
-_SORTED_PAYROLL = """
-  (SELECT o_custkey, o_orderpriority
-   FROM (SELECT *, row_number() OVER (ORDER BY o_custkey || ';' || o_orderpriority) AS position
-         FROM orders) WHERE position <> 2)"""
+  FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) GROUP BY 1"""
 
 _READINGS = f'SELECT sensor_type, measurement, "timestamp" FROM ({SENSORS})'
 
@@ -154,13 +157,9 @@ ORACLE: dict[str, str] = {
       FROM customer WHERE c_acctbal < 0""",
     "salary_top6": f"{_SALARIES} ORDER BY 1 DESC, 2 LIMIT 6",
     "line_scan": _SALARIES,
-    "title_counts": _TITLES.format(rows="orders"),
-    "title_counts_skip": _TITLES.format(
-        rows="""orders WHERE o_orderkey <> (
-          SELECT min(o_orderkey) FROM orders
-          WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders))"""
-    ),
-    "title_counts_file": _TITLES.format(rows=_SORTED_PAYROLL),
+    "title_counts": f"{_TITLES} UNION ALL SELECT '-----', 1 FROM (SELECT 1 FROM orders LIMIT 1)",
+    "title_counts_skip": _TITLES,
+    "title_counts_file": _TITLES,
     "enrol_by_admission": f"SELECT * FROM ({STUDENTS}) WHERE admission = '1-URGENT'",
     "enrol_by_admission_sex": f"""
       SELECT * FROM ({STUDENTS}) WHERE admission = '1-URGENT' AND sex = 'F'""",
@@ -179,12 +178,22 @@ ORACLE: dict[str, str] = {
     "enrol_top5_by_admission": _top5("admission = '1-URGENT'"),
     "enrol_top5_in_period": _top5(f"admission = '1-URGENT' AND {_IN_1997}"),
     "enrol_job": f"""
-      SELECT 'students' AS collection, count(*) AS n FROM orders
-      UNION ALL SELECT 'sisu', count(*) FROM ({STUDENTS}) WHERE admission = '1-URGENT'
-      UNION ALL SELECT 'sexo', count(DISTINCT sex) FROM ({STUDENTS})
-      UNION ALL SELECT 'cursos', least(5, count(DISTINCT course)) FROM ({STUDENTS})
-      UNION ALL SELECT 'sisu_masculino', count(*) FROM ({STUDENTS})
-                WHERE admission = '1-URGENT' AND sex = 'F'""",
+      WITH s AS ({STUDENTS}), a AS (SELECT * FROM s WHERE admission = '1-URGENT')
+      SELECT 'students' AS collection, concat_ws('|', id, admission, sex, course) AS row FROM s
+      UNION ALL SELECT 'sisu', concat_ws('|', id, admission, sex, course) FROM a
+      UNION ALL SELECT 'sisu_masculino', concat_ws('|', id, admission, sex, course) FROM a WHERE sex = 'F'
+      UNION ALL SELECT 'sexo', concat_ws('|', sex, count(*)) FROM s GROUP BY sex
+      UNION ALL SELECT 'cursos', concat_ws('|', course, count) FROM ({_top5()})
+      UNION ALL SELECT 'ages', concat_ws('|', CAST(year(intake_date) - birth_year AS BIGINT), count(*))
+                FROM a GROUP BY year(intake_date) - birth_year
+      UNION ALL SELECT 'sexes_by_admission', concat_ws('|', sex, count(*)) FROM a GROUP BY sex
+      UNION ALL SELECT 'top_courses_by_admission', concat_ws('|', course, count)
+                FROM ({_top5("admission = '1-URGENT'")})
+      UNION ALL SELECT 'top_courses_in_period', concat_ws('|', course, count)
+                FROM ({_top5(f"admission = '1-URGENT' AND {_IN_1997}")})
+      UNION ALL SELECT 'count_in_period', CAST(count(*) AS VARCHAR) FROM a WHERE {_IN_1997}
+      UNION ALL SELECT 'count_in_course', CAST(count(*) AS VARCHAR) FROM a
+                WHERE course = 'CURSO_7'""",
     "cdc_decode": f"""
       SELECT id, sensor_id, sensor_type, CAST(measurement AS FLOAT) AS measurement,
              date_trunc('second', "timestamp") AS "timestamp", 'c' AS op, true AS has_row
@@ -194,6 +203,13 @@ ORACLE: dict[str, str] = {
     "cdc_changes": f"SELECT op, has_row, count(*) AS n FROM ({_MIXED}) GROUP BY ALL",
     "cdc_changes_metrics": _metrics(_MIXED),
     "cdc_docs_decode": _DOCUMENTS,
+    "cdc_docs_changes": f"""
+      SELECT op, has_row, count(*) AS n, count(*) FILTER (WHERE has_row) AS n_id,
+             count(measurement) FILTER (WHERE has_row) AS n_measured
+      FROM (SELECT CASE WHEN sensor_type = 'signup' THEN 'd'
+                        WHEN sensor_type <> 'purchase' THEN 'c' END AS op,
+                   sensor_type NOT IN ('signup', 'purchase', 'view', 'error') AS has_row, measurement
+            FROM ({SENSORS})) GROUP BY ALL""",
     "sensor_metrics": _metrics(SENSORS),
     "sensor_classes": f"""
       SELECT {_CLASS} AS class, count(*) AS n FROM ({SENSORS}) GROUP BY 1""",
@@ -201,6 +217,7 @@ ORACLE: dict[str, str] = {
     "sensor_buckets": _rounded_buckets(),
     "sensor_smoothing": _smoothed(),
     "sensor_online": _online("sensor_id"),
+    "sensor_online_as_of": _online("sensor_id", _AS_OF),
     "ingest_csv": _READINGS,
     "ingest_csv_inferred": f"""
       SELECT id, admission, sex, course, birth_year FROM ({STUDENTS})""",
@@ -211,6 +228,17 @@ ORACLE: dict[str, str] = {
     "lake_buckets": _BOTH.format(_rounded_buckets()),
     "lake_smoothing": _BOTH.format(_smoothed()),
     "lake_online": _BOTH.format(_online("sensor_type")),
+    "lake_online_as_of": _BOTH.format(_online("sensor_type", _AS_OF)),
+    "lake_health_as_of": _BOTH.format(_health("sensor_type", _AS_OF)),
+    "lake_sensor_health": _health("sensor_id, sensor_type"),
+    "lake_sensor_online": _online("sensor_id, sensor_type"),
+    "lake_rejects": f"""
+      SELECT sensor_type, kind, count(*) AS n FROM (
+        SELECT sensor_type, CASE WHEN sensor_type = 'purchase' THEN 'reject' ELSE 'reading' END AS kind
+        FROM ({SENSORS})
+        UNION ALL
+        SELECT sensor_type, CASE WHEN sensor_type = 'signup' THEN 'reject' ELSE 'reading' END
+        FROM ({SENSORS})) GROUP BY ALL""",
     "docs_roundtrip": SENSORS,
     "docs_append": SENSORS,
     "table_roundtrip": SENSORS,
@@ -219,8 +247,16 @@ ORACLE: dict[str, str] = {
     "migrate_metrics": _BOTH.format(_metrics(SENSORS)),
     "metrics_dual_sink": _BOTH.format(_metrics(SENSORS)),
     "stream_cdc_metrics": _metrics(SENSORS, _FLOAT),
-    "stream_lake_metrics": f"""
-      SELECT *, (SELECT count(*) FROM events) AS n FROM ({_BOTH.format(_metrics(SENSORS))})""",
+    "stream_lake_metrics": _BOTH.format(_metrics(SENSORS)),
+    "stream_lake_health": _BOTH.format(_health("sensor_type")),
+    "stream_lake_buckets": _BOTH.format(_rounded_buckets()),
+    "stream_lake_smoothing": _BOTH.format(_smoothed()),
+    "stream_lake_online": _BOTH.format(_seen("sensor_type")),
+    "live_metrics": _BOTH.format(_metrics(SENSORS)),
+    "live_health": _BOTH.format(_health("sensor_type")),
+    "live_buckets": _BOTH.format(_rounded_buckets()),
+    "live_smoothing": _BOTH.format(_smoothed()),
+    "live_online": _BOTH.format(_seen("sensor_type")),
     "stream_json_sink": SENSORS,
     "stream_docs_decode": _DOCUMENTS,
     "stream_buckets": _rounded_buckets(_CLOSED),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from lakeline.config import Target
 from lakeline.operators.sensors import metric_columns, sensor_metrics
 from lakeline.sinks.stores import save, write_metrics
-from lakeline.sources.stores import read_target
+from lakeline.sources.stores import read_whole
 
 
 def migrate_readings(
@@ -25,7 +25,7 @@ def migrate_readings(
     not read again for them.
     """
     seen = Observation()
-    readings = read_target(spark, source)
+    readings = read_whole(spark, source)
     save(readings.observe(seen, *metric_columns()), target, mode)
     schema = sensor_metrics(readings).schema
     metrics = spark.createDataFrame([[seen.get[name] for name in schema.names]], schema)

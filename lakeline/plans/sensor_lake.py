@@ -7,16 +7,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lakeline.config import Target
-from lakeline.operators.rollup import rollup, total_health, total_last, total_means, total_metrics
-from lakeline.operators.sensors import HOUR, health_counts, newest, online_at, with_status
-from lakeline.operators.smoothing import smooth
+from lakeline.operators.dashboard import dashboard_tables
+from lakeline.operators.rollup import rollup
+from lakeline.operators.sensors import HOUR, known_at
+from lakeline.schemas import READING
 from lakeline.session import scratch_path
+from lakeline.sinks.files import remove
 from lakeline.sinks.stores import write_metrics
 from lakeline.sources.files import read_sensor_lake, stream_sensor_lake
-from lakeline.streaming.jobs import DRAIN, Trigger, start_keyed_state, start_running_metrics
-
+from lakeline.streaming.dashboard import start_dashboard
+from lakeline.streaming.jobs import DRAIN, Trigger
 
 def lake_metrics(
     spark: SparkSession,
@@ -26,28 +29,26 @@ def lake_metrics(
     horizon: datetime.timedelta = HOUR,
     width: str = "1 hour",
     staging: str | None = None,
-    repeatable: bool = True,
+    repeatable: bool = False,
+    schema: StructType = READING,
 ) -> dict[str, DataFrame]:
     """Every dashboard table over all files of the directory.
 
-    Lake files keep times to the second, so a sensor may well have several last
-    readings: ``repeatable`` shows the largest, else any is taken, a little faster.
+    With ``as_of`` the tables show what was known then: later readings do not count.
+    Of several readings of a sensor at its last instant any is shown; ``repeatable``
+    takes the largest, which sorts all readings. ``schema`` names the columns of the
+    files, so that ``keys`` may be columns of their own.
 
     The files are read and parsed once, into a rollup stored as Parquet at
     ``staging`` (by default in the shared scratch folder); the tables are lazy
     and read only that.
     """
     staging = staging or scratch_path(spark, "rollup")
-    rollup(read_sensor_lake(spark, path), keys, width, repeatable=repeatable).write.parquet(staging)
-    totals = spark.read.parquet(staging)
-    now = newest(totals, "last_seen") if as_of is None else as_of
-    return {
-        "sensor_metrics": total_metrics(totals),
-        "sensor_health": with_status(total_health(totals, keys), now, horizon),
-        "sensor_buckets": total_means(totals, keys),
-        "sensor_smoothing": smooth(total_means(totals, keys), keys),
-        "sensors_online": online_at(total_last(totals, keys), now, horizon),
-    }
+    readings = read_sensor_lake(spark, path, schema)
+    if as_of is not None:
+        readings = known_at(readings, as_of)
+    rollup(readings, keys, width, repeatable=repeatable).write.parquet(staging)
+    return dashboard_tables(spark.read.parquet(staging), keys, as_of, horizon)
 
 
 def refresh(
@@ -58,31 +59,37 @@ def refresh(
         write_metrics(metrics[name], stores)
 
 
+def refresh_from_lake(
+    spark: SparkSession,
+    path: str,
+    targets: Mapping[str, Sequence[Target]],
+    keys: Sequence[str] = ("sensor_type",),
+    **options: object,
+) -> None:
+    """Read the lake once, replace every table, and remove the rollup."""
+    staging = scratch_path(spark, "rollup")
+    try:
+        refresh(lake_metrics(spark, path, keys, staging=staging, **options), targets)
+    finally:
+        remove(spark, staging)
+
+
 def start_lake_updates(
     spark: SparkSession,
     path: str,
-    metric_targets: Sequence[Target],
-    health_targets: Sequence[Target],
+    targets: Mapping[str, Sequence[Target]],
     checkpoint: str,
     keys: Sequence[str] = ("sensor_type",),
     trigger: Trigger = DRAIN,
-) -> list[StreamingQuery]:
-    """Bring the metrics and the health counts up to date with files not read before.
+    schema: StructType = READING,
+    source: Mapping[str, str] | None = None,
+    **options: object,
+) -> StreamingQuery:
+    """Bring the dashboard tables up to date with files not read before.
 
-    Both are cumulative and replace what the targets hold; the checkpoint keeps
-    the totals so far and the names of the files they cover.
+    One query reads and parses each file once; ``checkpoint`` keeps the names of the
+    files and the rollups of what they held, see ``start_dashboard`` for ``options``.
+    ``source`` takes options of the file source.
     """
-    readings = stream_sensor_lake(spark, path)
-    return [
-        start_running_metrics(
-            readings, metric_targets, f"{checkpoint}/metrics", trigger, history=False
-        ),
-        start_keyed_state(
-            health_counts(readings, keys),
-            keys,
-            health_targets,
-            f"{checkpoint}/health",
-            trigger,
-            history=False,
-        ),
-    ]
+    readings = stream_sensor_lake(spark, path, schema, **(source or {}))
+    return start_dashboard(readings, targets, checkpoint, keys, trigger, **options)

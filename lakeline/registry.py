@@ -19,6 +19,8 @@ from lakeline.config import DocTarget, JobConfig, TableTarget
 from lakeline.operators import enrolment
 from lakeline.operators.cdc import changed_rows, decode_document_envelopes, decode_envelopes
 from lakeline.operators.counting import count_by
+from lakeline.operators.dashboard import dashboard_tables
+from lakeline.operators.rollup import rollup
 from lakeline.operators.rows import drop_second_row
 from lakeline.operators.sensors import (
     bucket_means,
@@ -39,9 +41,11 @@ from lakeline.plans.migration import migrate_readings
 from lakeline.plans.payroll import payroll_lines, title_counts
 from lakeline.plans.salaries import parse_salaries, top_salaries
 from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates
+from lakeline.schemas import READING, lake_schema
 from lakeline.session import scratch_path
 from lakeline.sinks import (
     migrate,
+    read_version,
     save,
     write_docs,
     write_lake_csv,
@@ -54,6 +58,7 @@ from lakeline.sources import (
     read_docs,
     read_envelope_files,
     read_key_values,
+    read_lake_rejects,
     read_lines,
     read_sensor_csv,
     read_sensor_json,
@@ -63,6 +68,7 @@ from lakeline.sources import (
 from lakeline.streaming import (
     latest_state,
     run_to_end,
+    start_dashboard,
     start_json_sink,
     start_keyed_state,
     start_running_metrics,
@@ -79,6 +85,7 @@ LOGIN_THRESHOLD = 15
 ADMISSION = "1-URGENT"
 SEX = "F"
 COURSE = "CURSO_7"
+AS_OF = datetime.datetime(2024, 1, 15, 12, 30)
 YEAR_1997 = enrolment.Period(datetime.date(1997, 1, 1), datetime.date(1998, 1, 1))
 
 SENSOR_DOC = T.StructType(
@@ -123,6 +130,16 @@ def _sensor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.instants(V.sensors(V.streamed(spark, sf_dir, "events")))
 
 
+def _sensor_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings as a stream of four micro-batches, in order of time."""
+    path = scratch_path(spark, "readings")
+    readings = V.instants(_sensors(spark, sf_dir))
+    for first, last in ((1, 8), (9, 16), (17, 24), (25, 31)):
+        part = readings.where(F.dayofmonth("timestamp").between(first, last))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _students(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.students(_orders(spark, sf_dir))
 
@@ -198,16 +215,13 @@ def _(spark, sf_dir):
 
 @query("title_counts_skip")
 def _(spark, sf_dir):
-    return title_counts(V.payroll(drop_second_row(_orders(spark, sf_dir), "o_orderkey")))
+    return title_counts(drop_second_row(V.payroll(_orders(spark, sf_dir)), "position"))
 
 
 @query("title_counts_file")
 def _(spark, sf_dir):
     path = scratch_path(spark, "payroll")
-    orders = _orders(spark, sf_dir)
-    # The key breaks ties, so that a line with many copies spreads over several sort ranges.
-    in_order = V.payroll(orders, "o_orderkey").orderBy("value", "o_orderkey")
-    in_order.select("value").write.text(path)
+    V.payroll(_orders(spark, sf_dir)).orderBy("position").select("value").write.text(path)
     return title_counts(payroll_lines(spark, path))
 
 
@@ -275,25 +289,28 @@ def _(spark, sf_dir):
 
 @query("enrol_job")
 def _(spark, sf_dir):
-    """The whole job: a CSV file of students, then every collection the job saved, by size."""
+    """The whole job: a CSV file of students, then what every collection holds, as text."""
     base = scratch_path(spark, "enrolment")
-    students = _students(spark, sf_dir).select("id", "admission", "sex", "course")
+    students = _students(spark, sf_dir)
     students.write.option("header", True).option("sep", ";").csv(f"{base}/input")
     results = load_students(
         spark,
         JobConfig(input_path=f"{base}/input", collection="students"),
         lambda name: DocTarget.json_files(f"{base}/{name or 'students'}"),
-        staging=f"{base}/staging",
         admission=ADMISSION,
         sex=SEX,
         columns=V.STUDENT_COLUMNS,
+        questions={"admission": ADMISSION, "course": COURSE, "period": YEAR_1997},
     )
-    sizes = None
+    held = None
     for name, frame in {"students": students, **results}.items():
         saved = read_docs(spark, DocTarget.json_files(f"{base}/{name}", frame.schema))
-        size = enrolment.how_many(saved).select(F.lit(name).alias("collection"), "n")
-        sizes = size if sizes is None else sizes.unionByName(size)
-    return sizes
+        # Whole students are told by their id and its fields, summaries by group and count.
+        fields = [c for c in ("id", "admission", "sex", "course", "age", "count", "n") if c in saved.columns]
+        told = F.concat_ws("|", *[F.col(c).cast("string") for c in fields])
+        rows = saved.select(F.lit(name).alias("collection"), told.alias("row"))
+        held = rows if held is None else held.unionByName(rows)
+    return held
 
 
 # --- change data capture ----------------------------------------------------
@@ -338,6 +355,15 @@ def _(spark, sf_dir):
     return V.wall_clock(decode_document_envelopes(messages, extra=ENVELOPE_KEYS), "timestamp")
 
 
+@query("cdc_docs_changes")
+def _(spark, sf_dir):
+    messages = V.mixed_document_envelopes(_sensors(spark, sf_dir))
+    decoded = decode_document_envelopes(messages, extra=ENVELOPE_KEYS)
+    return decoded.groupBy("op", "has_row").agg(
+        F.count("*").alias("n"), F.count("id").alias("n_id"), F.count("measurement").alias("n_measured")
+    )
+
+
 # --- sensors ----------------------------------------------------------------
 
 
@@ -375,6 +401,11 @@ def _(spark, sf_dir):
     return sensors_online(_sensors(spark, sf_dir), ["sensor_id"])
 
 
+@query("sensor_online_as_of")
+def _(spark, sf_dir):
+    return sensors_online(_sensors(spark, sf_dir), ["sensor_id"], AS_OF)
+
+
 # --- lake files, stores, migrations -----------------------------------------
 
 
@@ -425,9 +456,27 @@ def _(spark, sf_dir):
     return V.wall_clock(read_sensor_lake(spark, _write_lake(spark, sf_dir)), "timestamp")
 
 
-def _dashboard(spark, sf_dir, name):
+@query("lake_rejects")
+def _(spark, sf_dir):
+    """A lake with damaged lines: readings and rejects of each kind of sensor."""
+    path = scratch_path(spark, "lake")
+    as_csv, as_json = V.damaged_lake(_readings(spark, sf_dir))
+    # Every part file needs a header of its own.
+    header = spark.range(1).select(F.lit(",".join(READING.names)).alias("value"))
+    header.unionByName(as_csv).coalesce(1).write.text(f"{path}/csv")
+    as_json.write.text(f"{path}/json")
+    V.rename_files(spark, f"{path}/csv", ".txt", ".csv")
+    V.rename_files(spark, f"{path}/json", ".txt", ".json")
+    kept = read_sensor_lake(spark, f"{path}/*").select("sensor_type", F.lit("reading").alias("kind"))
+    lost = read_lake_rejects(spark, f"{path}/*")
+    cut = F.regexp_extract("value", r'^(?:\{"sensor_type":")?([a-z_]+)', 1)
+    rejected = lost.select(cut.alias("sensor_type"), F.lit("reject").alias("kind"))
+    return count_by(kept.unionByName(rejected), "sensor_type", "kind")
+
+
+def _dashboard(spark, sf_dir, name, **options):
     """Read the lake once, save one dashboard table to both stores, and show both copies."""
-    metrics = lake_metrics(spark, _write_lake(spark, sf_dir))
+    metrics = lake_metrics(spark, _write_lake(spark, sf_dir), **options)
     base = scratch_path(spark, "dashboard")
     docs = DocTarget.json_files(f"{base}/docs", metrics[name].schema)
     rows = TableTarget.parquet_files(f"{base}/table")
@@ -467,7 +516,40 @@ def _(spark, sf_dir):
 
 @query("lake_online")
 def _(spark, sf_dir):
-    return V.wall_clock(_dashboard(spark, sf_dir, "sensors_online"), "last_seen")
+    online = _dashboard(spark, sf_dir, "sensors_online", repeatable=True)
+    return V.wall_clock(online, "last_seen")
+
+
+@query("lake_online_as_of")
+def _(spark, sf_dir):
+    online = _dashboard(spark, sf_dir, "sensors_online", as_of=AS_OF, repeatable=True)
+    return V.wall_clock(online, "last_seen")
+
+
+@query("lake_health_as_of")
+def _(spark, sf_dir):
+    health = _dashboard(spark, sf_dir, "sensor_health", as_of=AS_OF)
+    return V.wall_clock(_rounded(health, "average_valid", "valid_ratio"), "last_seen")
+
+
+def _keyed_dashboard(spark, sf_dir, name, **options):
+    """The same from files that begin with the sensor's id."""
+    path = scratch_path(spark, "keyed-lake")
+    keys, schema = ["sensor_id", "sensor_type"], lake_schema(["sensor_id"])
+    write_lake_csv(_sensors(spark, sf_dir).select(schema.names), path)
+    return lake_metrics(spark, path, keys, schema=schema, **options)[name]
+
+
+@query("lake_sensor_health")
+def _(spark, sf_dir):
+    health = _keyed_dashboard(spark, sf_dir, "sensor_health")
+    return V.wall_clock(_rounded(health, "average_valid", "valid_ratio"), "last_seen")
+
+
+@query("lake_sensor_online")
+def _(spark, sf_dir):
+    online = _keyed_dashboard(spark, sf_dir, "sensors_online", repeatable=True)
+    return V.wall_clock(online, "last_seen")
 
 
 @query("docs_roundtrip")
@@ -564,21 +646,141 @@ def _(spark, sf_dir):
     return _rounded_metrics(newest_first.drop("batch_id"))
 
 
+EIGHT_DAYS = datetime.timedelta(days=8)
+
+
+def _updated(spark, sf_dir, name):
+    """Files arrive three times, the last ones with old times; each run reads the new ones only.
+
+    Shows a dashboard table from both stores, after checks that every run read its
+    own files and no others.
+    """
+    lake, base = scratch_path(spark, "lake"), scratch_path(spark, "lake-updates")
+    targets = _dashboard_stores(base, name)
+    as_csv, as_json = _lake_halves(spark, sf_dir)
+    early = F.dayofmonth("timestamp") <= 10
+    arrivals = [
+        (write_lake_csv, as_csv.where(early), None),
+        (write_lake_json, as_json, None),
+        (write_lake_csv, as_csv.where(~early), EIGHT_DAYS),
+    ]
+    for write, arriving, age in arrivals:
+        arrived = set(V.data_files(spark, lake))
+        write(arriving, lake)
+        if age is not None:
+            new = [f for f in V.data_files(spark, lake) if f not in arrived]
+            V.age_files(spark, [f"{lake}/{f}" for f in new], age)
+        update = start_lake_updates(spark, lake, targets, f"{base}/checkpoint", fold=2)
+        run_to_end(update)
+        read = sum(p.numInputRows for p in update.recentProgress)
+        if read != arriving.count():
+            raise RuntimeError(f"read {read} rows of {arriving.count()} that arrived")
+    return _both_versions(spark, targets[name], lake_metrics(spark, lake)[name].schema)
+
+
+def _dashboard_stores(base, name):
+    docs, rows = DocTarget.json_files(f"{base}/docs"), TableTarget.parquet_files(f"{base}/table")
+    return {name: [docs.named(name), rows.named(name)]}
+
+
+def _both_versions(spark, stores, schema):
+    docs, rows = stores
+    docs = DocTarget(docs.format, docs.options, schema)
+    return _both(read_version(spark, docs), read_version(spark, rows))
+
+
+def _shown(table, name):
+    """A dashboard table in the form its SQL gives."""
+    if name == "sensor_metrics":
+        return _rounded_metrics(table)
+    if name == "sensor_health":
+        return V.wall_clock(_rounded(table, "average_valid", "valid_ratio"), "last_seen")
+    if name == "sensor_buckets":
+        return V.wall_clock(_rounded_metrics(table), "bucket")
+    if name == "sensor_smoothing":
+        smoothed = _rounded(table, "smoothed").select("sensor_type", "bucket", "smoothed", "target")
+        return V.wall_clock(smoothed, "bucket")
+    return V.wall_clock(table, "last_seen").drop("last_measurement")
+
+
 @query("stream_lake_metrics")
 def _(spark, sf_dir):
-    """CSV files arrive first and JSON files later; the second run reads the new files only."""
-    lake = scratch_path(spark, "lake")
-    base = scratch_path(spark, "lake-updates")
-    docs, rows = DocTarget.json_files(f"{base}/docs"), TableTarget.parquet_files(f"{base}/table")
-    health = TableTarget.parquet_files(f"{base}/health")
-    for write, arriving in zip((write_lake_csv, write_lake_json), _lake_halves(spark, sf_dir)):
-        write(arriving, lake)
-        for update in start_lake_updates(spark, lake, [docs, rows], [health], f"{base}/checkpoint"):
-            run_to_end(update)
-    metrics = read_target(spark, rows)
-    saved = read_docs(spark, DocTarget(docs.format, docs.options, metrics.schema))
-    counted = read_target(spark, health).agg(F.sum("n").alias("n"))
-    return _rounded_metrics(_both(saved, metrics)).withColumn("n", counted.scalar())
+    return _shown(_updated(spark, sf_dir, "sensor_metrics"), "sensor_metrics")
+
+
+@query("stream_lake_health")
+def _(spark, sf_dir):
+    return _shown(_updated(spark, sf_dir, "sensor_health"), "sensor_health")
+
+
+@query("stream_lake_buckets")
+def _(spark, sf_dir):
+    return _shown(_updated(spark, sf_dir, "sensor_buckets"), "sensor_buckets")
+
+
+@query("stream_lake_smoothing")
+def _(spark, sf_dir):
+    return _shown(_updated(spark, sf_dir, "sensor_smoothing"), "sensor_smoothing")
+
+
+@query("stream_lake_online")
+def _(spark, sf_dir):
+    return _shown(_updated(spark, sf_dir, "sensors_online"), "sensors_online")
+
+
+def _live(spark, sf_dir, name):
+    """The dashboard kept from a topic, in several micro-batches, from both stores."""
+    topic, base = scratch_path(spark, "topic"), scratch_path(spark, "live")
+    _several_files(V.envelopes(_sensors(spark, sf_dir)), topic)
+    messages = read_envelope_files(spark, topic, maxFilesPerTrigger="1")
+    readings = decode_envelopes(messages, measurement_type="double", precision="micro").where("has_row")
+    targets = _dashboard_stores(base, name)
+    query = start_dashboard(readings, targets, f"{base}/checkpoint", trigger=DRAIN, fold=3)
+    run_to_end(query)
+    _ran_several(query)
+    schema = dashboard_tables(rollup(_readings_as_instants(spark, sf_dir), ["sensor_type"]), ["sensor_type"])
+    return _both_versions(spark, targets[name], schema[name].schema)
+
+
+def _readings_as_instants(spark, sf_dir):
+    return V.instants(_readings(spark, sf_dir))
+
+
+def _several_files(rows, path):
+    """Four files, one after the other in order of time, as JSON lines."""
+    for part in range(4):
+        rows.where(F.pmod(F.xxhash64("value"), F.lit(4)) == part).coalesce(1).write.mode("append").json(path)
+
+
+def _ran_several(query):
+    batches = [p for p in query.recentProgress if p.numInputRows]
+    if len(batches) < 2:
+        raise RuntimeError(f"the stream ran as {len(batches)} micro-batch")
+
+
+@query("live_metrics")
+def _(spark, sf_dir):
+    return _shown(_live(spark, sf_dir, "sensor_metrics"), "sensor_metrics")
+
+
+@query("live_health")
+def _(spark, sf_dir):
+    return _shown(_live(spark, sf_dir, "sensor_health"), "sensor_health")
+
+
+@query("live_buckets")
+def _(spark, sf_dir):
+    return _shown(_live(spark, sf_dir, "sensor_buckets"), "sensor_buckets")
+
+
+@query("live_smoothing")
+def _(spark, sf_dir):
+    return _shown(_live(spark, sf_dir, "sensor_smoothing"), "sensor_smoothing")
+
+
+@query("live_online")
+def _(spark, sf_dir):
+    return _shown(_live(spark, sf_dir, "sensors_online"), "sensors_online")
 
 
 @query("stream_json_sink")
@@ -602,8 +804,10 @@ def _(spark, sf_dir):
 
 def _closed_buckets(spark, sf_dir):
     base = scratch_path(spark, "buckets")
-    means = windowed_means(_sensor_stream(spark, sf_dir), ["sensor_type"])
-    run_to_end(start_json_sink(means, f"{base}/out", f"{base}/checkpoint", DRAIN))
+    means = windowed_means(_sensor_parts(spark, sf_dir), ["sensor_type"])
+    query = start_json_sink(means, f"{base}/out", f"{base}/checkpoint", DRAIN)
+    run_to_end(query)
+    _ran_several(query)
     return V.wall_clock(spark.read.schema(means.schema).json(f"{base}/out"), "bucket")
 
 
@@ -623,21 +827,21 @@ def _state_of(spark, aggregated, keys, label):
     base = scratch_path(spark, label)
     docs = DocTarget.json_files(f"{base}/docs")
     rows = TableTarget.parquet_files(f"{base}/table")
-    run_to_end(
-        start_keyed_state(aggregated, keys, [docs, rows], f"{base}/checkpoint", DRAIN)
-    )
+    query = start_keyed_state(aggregated, keys, [docs, rows], f"{base}/checkpoint", DRAIN)
+    run_to_end(query)
+    _ran_several(query)
     return V.wall_clock(latest_state(read_target(spark, rows), keys), "last_seen")
 
 
 @query("stream_online")
 def _(spark, sf_dir):
     keys = ["sensor_id"]
-    state = _state_of(spark, last_readings(_sensor_stream(spark, sf_dir), keys), keys, "online")
+    state = _state_of(spark, last_readings(_sensor_parts(spark, sf_dir), keys), keys, "online")
     return online_at(state, newest(state, "last_seen"))
 
 
 @query("stream_health")
 def _(spark, sf_dir):
     keys = ["sensor_id", "sensor_type"]
-    state = _state_of(spark, health_counts(_sensor_stream(spark, sf_dir), keys), keys, "health")
+    state = _state_of(spark, health_counts(_sensor_parts(spark, sf_dir), keys), keys, "health")
     return _rounded(with_status(state, newest(state, "last_seen")), "average_valid", "valid_ratio")

@@ -15,6 +15,16 @@ READING = T.StructType(
     ]
 )
 
+#: Where the readers put the text of a line that does not fit the schema.
+DAMAGED = "_damaged"
+
+
+def lake_schema(keys: Sequence[str] = (), schema: T.StructType = READING) -> T.StructType:
+    """The schema of lake files that begin with further text columns, such as a sensor's id."""
+    extra = [T.StructField(k, T.StringType()) for k in keys if k not in schema.names]
+    return T.StructType([*extra, *schema.fields])
+
+
 #: Rows of files that stand in for a message topic.
 MESSAGE = T.StructType([T.StructField("value", T.StringType())])
 

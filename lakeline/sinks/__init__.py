@@ -1,10 +1,20 @@
 """Sinks: lake files, text results, tables, collections and metric stores."""
 
 from lakeline.sinks.files import write_lake_csv, write_lake_json, write_tsv
-from lakeline.sinks.stores import migrate, save, write_batch, write_docs, write_metrics, write_table
+from lakeline.sinks.stores import (
+    migrate,
+    read_version,
+    save,
+    write_batch,
+    write_docs,
+    write_metrics,
+    write_table,
+    write_version,
+)
 
 __all__ = [
     "migrate",
+    "read_version",
     "save",
     "write_batch",
     "write_docs",
@@ -13,4 +23,5 @@ __all__ = [
     "write_metrics",
     "write_table",
     "write_tsv",
+    "write_version",
 ]

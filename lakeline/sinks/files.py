@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,3 +41,25 @@ def _cell(field: T.StructField):
     value = F.col(f"`{field.name}`")
     text = float_text(value) if isinstance(field.dataType, T.DoubleType) else value.cast("string")
     return F.coalesce(text, F.lit(""))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, on whichever file system it is; none if there is no such folder."""
+    folder, system = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote this directory came to its end."""
+    return "_SUCCESS" in children(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a directory; there may be none."""
+    folder, system = _file_system(spark, path)
+    system.delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

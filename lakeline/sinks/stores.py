@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -10,18 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeline.config import DocTarget, TableTarget, Target
-from lakeline.sources.stores import read_target
+from lakeline.sinks.files import children, is_committed, remove
+from lakeline.sources.stores import read_target, read_whole
 
 BATCH = "batch_id"
+VERSION = "version"
+#: What a save does to a store that holds something already.
+IF_EMPTY = "errorifexists"
 
 
 def save(df: DataFrame, target: Target, mode: str = "append") -> None:
     df.write.format(target.format).options(**target.options).mode(mode).save()
 
 
-def write_docs(df: DataFrame, target: DocTarget, mode: str = "errorifexists") -> None:
-    """Save to a document collection; by default only if it does not exist yet."""
-    save(df, target, mode)
+def write_docs(df: DataFrame, target: DocTarget, mode: str = IF_EMPTY) -> None:
+    """Save to a document collection; by default only if it holds nothing yet."""
+    held = mode == IF_EMPTY and target.path is None and not _holds_nothing(df, target)
+    save(df, target, accepted_mode(target, mode, held))
+
+
+def accepted_mode(target: Target, mode: str, holds_something: bool) -> str:
+    """The mode by which a store is written to.
+
+    Connectors take only ``append`` and ``overwrite``, so they are appended to if they
+    hold nothing; files know the mode themselves.
+    """
+    if mode != IF_EMPTY or target.path is not None:
+        return mode
+    if holds_something:
+        raise ValueError(f"the {target.format} store holds documents already")
+    return "append"
+
+
+def _holds_nothing(df: DataFrame, target: Target) -> bool:
+    stored = replace(target, schema=target.schema or df.schema)
+    return read_target(df.sparkSession, stored).limit(1).isEmpty()
 
 
 def write_table(
@@ -38,9 +62,9 @@ def write_table(
 def migrate(spark: SparkSession, source: Target, target: Target, mode: str = "append") -> None:
     """Copy a whole store into another, straight from the readers' tasks to the writers'.
 
-    A table is read by one task unless its target names a partition column.
+    A table needs a partition column, see ``read_whole``.
     """
-    save(read_target(spark, source), target, mode)
+    save(read_whole(spark, source), target, mode)
 
 
 def write_batch(df: DataFrame, target: Target, batch_id: int, keys: Sequence[str] = ()) -> None:
@@ -97,6 +121,41 @@ def write_metrics(
         metrics.unpersist()
 
 
+def write_version(df: DataFrame, targets: Sequence[Target], version: int) -> None:
+    """Save metrics to every target as its newest version, computing them once.
+
+    Files take a directory per version, and older ones go when it is complete; so a
+    reader of ``read_version`` always finds a whole table, and a repeat changes
+    nothing. Other stores are replaced.
+    """
+    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for target in targets:
+            if target.path is None:
+                save(rows, _truncating(target), "overwrite")
+                continue
+            base = target.path.rstrip("/")
+            options = {**target.options, "path": f"{base}/{VERSION}={version}"}
+            save(rows, Target(target.format, options), "overwrite")
+            for name in children(df.sparkSession, base):
+                if name.startswith(f"{VERSION}=") and int(name.partition("=")[2]) < version:
+                    remove(df.sparkSession, f"{base}/{name}")
+    finally:
+        rows.unpersist()
+
+
+def read_version(spark: SparkSession, target: Target) -> DataFrame:
+    """The newest complete version of a table that ``write_version`` saved."""
+    if target.path is None:
+        return read_target(spark, target)
+    base = target.path.rstrip("/")
+    found = [n for n in children(spark, base) if n.startswith(f"{VERSION}=")]
+    whole = [n for n in found if is_committed(spark, f"{base}/{n}")]
+    newest = max(whole, key=lambda n: int(n.partition("=")[2]))
+    options = {**target.options, "path": f"{base}/{newest}"}
+    return read_target(spark, replace(target, options=options))
+
+
 def _truncating(target: Target) -> Target:
     """Keep a table's definition and grants when its rows are replaced."""
     if target.format != "jdbc":

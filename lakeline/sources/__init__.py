@@ -4,6 +4,7 @@ from lakeline.sources.files import (
     read_csv,
     read_envelope_files,
     read_key_values,
+    read_lake_rejects,
     read_lines,
     read_lines_without,
     read_sensor_csv,
@@ -12,7 +13,7 @@ from lakeline.sources.files import (
     stream_sensor_lake,
 )
 from lakeline.sources.kafka import kafka_options, read_kafka
-from lakeline.sources.stores import jdbc_options, read_docs, read_jdbc, read_target
+from lakeline.sources.stores import jdbc_options, read_docs, read_jdbc, read_target, read_whole
 
 __all__ = [
     "jdbc_options",
@@ -23,11 +24,13 @@ __all__ = [
     "read_jdbc",
     "read_kafka",
     "read_key_values",
+    "read_lake_rejects",
     "read_lines",
     "read_lines_without",
     "read_sensor_csv",
     "read_sensor_json",
     "read_sensor_lake",
     "read_target",
+    "read_whole",
     "stream_sensor_lake",
 ]

@@ -6,13 +6,16 @@ import codecs
 import re
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeline.config import CsvOptions
-from lakeline.schemas import MESSAGE, READING
+from lakeline.schemas import DAMAGED, MESSAGE, READING
+
+#: The file source passes over files this much older than the newest one: none.
+ANY_AGE = "36500d"
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -89,13 +92,13 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
 
 
 def read_sensor_csv(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
-    """All ``.csv`` files of a lake directory, with a header line each."""
-    return _sensor_csv(spark.read, path, schema)
+    """All readings in ``.csv`` files of a lake directory, with a header line each."""
+    return _undamaged(_sensor_csv(spark.read, path, schema))
 
 
 def read_sensor_json(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
-    """All ``.json`` files of a lake directory: one object, or one array of them, per line."""
-    return _sensor_json(spark.read, path, schema)
+    """All readings in ``.json`` files of a lake: one object, or one array of them, per line."""
+    return _undamaged(_sensor_json(spark.read, path, schema))
 
 
 def read_sensor_lake(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
@@ -103,16 +106,41 @@ def read_sensor_lake(spark: SparkSession, path: str, schema: StructType = READIN
     return read_sensor_csv(spark, path, schema).unionByName(read_sensor_json(spark, path, schema))
 
 
+def read_lake_rejects(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
+    """Lines of a lake directory that are no reading: ``value``, and what could be read of them.
+
+    A number or time that does not parse, a missing field or a cut JSON text damages
+    the whole line, so that it is not taken for a burnt-out sensor.
+    """
+    lines = _sensor_csv(spark.read, path, schema).unionByName(_sensor_json(spark.read, path, schema))
+    return _judged(lines, F.col(DAMAGED).isNotNull()).withColumnRenamed(DAMAGED, "value")
+
+
 def stream_sensor_lake(
     spark: SparkSession, path: str, schema: StructType = READING, **options: str
 ) -> DataFrame:
     """The lake directory as a stream: a job that resumes from its checkpoint reads new files only.
 
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a micro-batch.
+    However old a file is, it is read. ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
+    bound a micro-batch. Give ``cleanSource`` (``archive`` or ``delete``) to bound the
+    list of files seen, if no other job reads the directory.
     """
-    return _sensor_csv(spark.readStream.options(**options), path, schema).unionByName(
+    options = {"maxFileAge": ANY_AGE, **options}
+    readings = _sensor_csv(spark.readStream.options(**options), path, schema).unionByName(
         _sensor_json(spark.readStream.options(**options), path, schema)
     )
+    return _undamaged(readings)
+
+
+def _undamaged(lines: DataFrame) -> DataFrame:
+    return _judged(lines, F.col(DAMAGED).isNull()).drop(DAMAGED)
+
+
+def _judged(lines: DataFrame, verdict: Column) -> DataFrame:
+    # The readers parse only what a query uses, and would not see damage elsewhere in the line:
+    # this condition, which always holds, uses all columns.
+    marks = [F.col(c).isNull() for c in lines.columns if c != DAMAGED]
+    return lines.where(verdict & (F.size(F.array(*marks)) == len(marks)))
 
 
 def _sensor_csv(
@@ -120,7 +148,8 @@ def _sensor_csv(
 ) -> DataFrame:
     # The header must agree with the schema instead of being ignored.
     return (
-        reader.schema(schema)
+        reader.schema(_with_damaged(schema))
+        .option("columnNameOfCorruptRecord", DAMAGED)
         .option("pathGlobFilter", "*.csv")
         .option("header", True)
         .option("enforceSchema", False)
@@ -131,7 +160,16 @@ def _sensor_csv(
 def _sensor_json(
     reader: DataFrameReader | DataStreamReader, path: str, schema: StructType
 ) -> DataFrame:
-    return reader.schema(schema).option("pathGlobFilter", "*.json").json(path)
+    return (
+        reader.schema(_with_damaged(schema))
+        .option("columnNameOfCorruptRecord", DAMAGED)
+        .option("pathGlobFilter", "*.json")
+        .json(path)
+    )
+
+
+def _with_damaged(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(DAMAGED, StringType())])
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +183,8 @@ def read_key_values(spark: SparkSession, path: str) -> DataFrame:
 def read_envelope_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A stream of messages from JSON files, in place of a topic.
 
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a micro-batch.
+    However old a file is, it is read. ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
+    bound a micro-batch.
     """
+    options = {"maxFileAge": ANY_AGE, **options}
     return spark.readStream.schema(MESSAGE).options(**options).json(path)

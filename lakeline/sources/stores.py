@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeline.config import DocTarget, Target
@@ -15,6 +18,42 @@ def read_target(spark: SparkSession, target: Target) -> DataFrame:
     return reader.load()
 
 
+def read_whole(spark: SparkSession, target: Target) -> DataFrame:
+    """A whole store, to be copied.
+
+    A database table is read by ``numPartitions`` tasks over the range of its
+    ``partitionColumn``, which the database is asked for unless the options name the
+    bounds. A table without one would go through a single connection, and is refused
+    unless the options ask for ``numPartitions`` 1.
+    """
+    if target.format != "jdbc":
+        return read_target(spark, target)
+    options = split_options(target.options)
+    if "partitionColumn" in options and "lowerBound" not in options:
+        return read_jdbc(
+            spark,
+            options.pop("url"),
+            options.pop("dbtable"),
+            options.pop("partitionColumn"),
+            n=int(options.pop("numPartitions")),
+            **options,
+        )
+    return read_target(spark, replace(target, options=options))
+
+
+def split_options(options: Mapping[str, str]) -> dict[str, str]:
+    """The options of a table read in parts; an error if they would read it in one part unasked."""
+    parts = options.get("numPartitions")
+    if options.get("partitionColumn") and parts:
+        return dict(options)
+    if parts == "1":
+        return {k: v for k, v in options.items() if k != "numPartitions"}
+    raise ValueError(
+        "a table is copied by many tasks: give partitionColumn and numPartitions, "
+        "or numPartitions 1 to read it by one"
+    )
+
+
 def read_docs(spark: SparkSession, target: DocTarget) -> DataFrame:
     """A document collection. Give the target a schema: collections have none of their own."""
     return read_target(spark, target)

@@ -1,5 +1,6 @@
 """Streaming jobs; each returns a running StreamingQuery."""
 
+from lakeline.streaming.dashboard import RollupStore, start_dashboard
 from lakeline.streaming.jobs import (
     latest_state,
     run_to_end,
@@ -10,8 +11,10 @@ from lakeline.streaming.jobs import (
 )
 
 __all__ = [
+    "RollupStore",
     "latest_state",
     "run_to_end",
+    "start_dashboard",
     "start_json_sink",
     "start_keyed_state",
     "start_running_metrics",

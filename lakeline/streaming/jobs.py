@@ -15,7 +15,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from lakeline.config import TIMESTAMP_FORMAT, Target
 from lakeline.operators.sensors import bucket_means, sensor_metrics
-from lakeline.sinks.stores import BATCH, write_metrics
+from lakeline.sinks.stores import BATCH, write_metrics, write_version
 
 Trigger = Mapping[str, object]
 
@@ -49,14 +49,17 @@ def start_running_metrics(
     """Cumulative metrics over all readings so far, saved to every target per micro-batch.
 
     The state is one row. No watermark applies, so late readings count too.
-    With ``history`` each micro-batch adds its row, else it replaces the last one.
+    With ``history`` each micro-batch adds its row, else it is a new version of the last one.
     """
 
     def save_batch(metrics: DataFrame, batch_id: int) -> None:
-        write_metrics(metrics, targets, batch_id if history else None)
+        if history:
+            write_metrics(metrics, targets, batch_id)
+        else:
+            write_version(metrics, targets, batch_id)
 
     writer = sensor_metrics(readings).writeStream.outputMode("complete").foreachBatch(save_batch)
-    return _start(writer, checkpoint, trigger)
+    return start_writer(writer, checkpoint, trigger)
 
 
 def start_json_sink(
@@ -69,7 +72,7 @@ def start_json_sink(
         .option("path", path)
         .option("timestampFormat", TIMESTAMP_FORMAT)
     )
-    return _start(writer, checkpoint, trigger)
+    return start_writer(writer, checkpoint, trigger)
 
 
 def start_keyed_state(
@@ -84,15 +87,18 @@ def start_keyed_state(
 
     With ``history`` only the sensors that changed are written, and ``latest_state``
     reads the current row of each; the stored batches add up. Without it every
-    micro-batch replaces the stored table by the whole state.
+    micro-batch saves the whole state as a new version, see ``write_version``.
     """
 
     def save_batch(rows: DataFrame, batch_id: int) -> None:
-        write_metrics(rows, targets, batch_id if history else None, keys)
+        if history:
+            write_metrics(rows, targets, batch_id, keys)
+        else:
+            write_version(rows, targets, batch_id)
 
     mode = "update" if history else "complete"
     writer = aggregated.writeStream.outputMode(mode).foreachBatch(save_batch)
-    return _start(writer, checkpoint, trigger)
+    return start_writer(writer, checkpoint, trigger)
 
 
 def latest_state(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,7 +112,10 @@ def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, trigger: Trigger | None) -> StreamingQuery:
+def start_writer(
+    writer: DataStreamWriter, checkpoint: str, trigger: Trigger | None
+) -> StreamingQuery:
+    """Start a query that resumes from its checkpoint."""
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.option("checkpointLocation", checkpoint).start()

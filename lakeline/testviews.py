@@ -6,6 +6,8 @@ can be checked against SQL over the original columns.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,10 +116,21 @@ def bracketed_debts() -> Column:
     return F.when(balance < 0, debt).otherwise(balance.cast("string"))
 
 
-def payroll(orders: DataFrame, *keep: str) -> DataFrame:
-    """Payroll lines: a person and a job title, with repeated rows."""
+#: The line under the first row of a payroll, which is no person.
+RULE = "-----;-----"
+
+
+def payroll(orders: DataFrame) -> DataFrame:
+    """Payroll lines: a person and a job title, with repeated rows.
+
+    The line at ``position`` 1, between the first and the second person, is a rule.
+    """
     line = F.concat(F.col("o_custkey"), F.lit(";"), F.col("o_orderpriority"))
-    return _rendered(orders, line, *keep)
+    numbered = orders.withColumn("position", F.col("o_orderkey") * 2)
+    rule = orders.agg((F.min("o_orderkey") * 2 + 1).alias("position"))
+    return _rendered(numbered, line, "position").unionByName(
+        rule.select(F.lit(RULE).alias("value"), "position")
+    )
 
 
 def students(orders: DataFrame) -> DataFrame:
@@ -161,7 +174,31 @@ def _change(op: Column, has_row: Column) -> Column:
 
 def document_envelopes(readings: DataFrame) -> DataFrame:
     """Change messages of a document store: ``after`` is the document as JSON text."""
-    document = F.to_json(
+    payload = F.struct(F.lit("c").alias("op"), _document().alias("after"))
+    message = F.to_json(F.struct(payload.alias("payload")))
+    return readings.select(message.alias("value"))
+
+
+def mixed_document_envelopes(readings: DataFrame) -> DataFrame:
+    """Messages of every kind: signups are deletes, views hold a cut document, errors one with a
+    number that is none, purchases are tombstones or damaged as a whole."""
+    kind = F.col("sensor_type")
+    cut = F.expr("substring(document, 1, length(document) - 2)")
+    after = (
+        F.when(kind == "signup", F.lit(None)).when(kind == "view", cut)
+        .when(kind == "error", F.regexp_replace("document", '"sensor_type"', '"measurement":"9O","sensor_type"'))
+        .otherwise(F.col("document"))
+    )
+    op = F.when(kind == "signup", "d").otherwise("c")
+    payload = F.struct(op.alias("op"), after.alias("after"))
+    message = F.to_json(F.struct(payload.alias("payload")), {"ignoreNullFields": "false"})
+    purchase = F.when(F.col("measurement") >= 20, F.concat(F.lit("damaged "), message))
+    value = F.when(kind == "purchase", purchase).otherwise(message)
+    return readings.withColumn("document", _document()).select(value.alias("value"))
+
+
+def _document() -> Column:
+    return F.to_json(
         F.struct(
             "id",
             "sensor_id",
@@ -170,6 +207,48 @@ def document_envelopes(readings: DataFrame) -> DataFrame:
             F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         )
     )
-    payload = F.struct(F.lit("c").alias("op"), document.alias("after"))
-    message = F.to_json(F.struct(payload.alias("payload")))
-    return readings.select(message.alias("value"))
+
+
+def damaged_lake(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of lake files, some damaged: CSV rows without their header, and JSON objects.
+
+    Purchases have a letter in their number in the CSV half, signups are cut short in
+    the JSON half.
+    """
+    time = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    number = F.coalesce(F.col("measurement").cast("string"), F.lit(""))
+    number = F.when(F.col("sensor_type") == "purchase", F.concat(number, F.lit("O"))).otherwise(number)
+    as_csv = F.concat_ws(",", "sensor_type", number, time)
+    row = F.to_json(F.struct("sensor_type", "measurement", time.alias("timestamp")))
+    cut = F.expr("substring(row, 1, length(row) - 3)")
+    as_json = F.when(F.col("sensor_type") == "signup", cut).otherwise(F.col("row"))
+    halves = readings.withColumn("row", row)
+    return halves.select(as_csv.alias("value")), halves.select(as_json.alias("value"))
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files in a folder, if there is one."""
+    folder, system = _folder(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    return [n for n in names if n.startswith("part-")]
+
+
+def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the data files of a folder another ending."""
+    folder, system = _folder(spark, path)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    for name in data_files(spark, path):
+        system.rename(make(f"{path}/{name}"), make(f"{path}/{name.removesuffix(old)}{new}"))
+
+
+def age_files(spark: SparkSession, paths: list[str], age: datetime.timedelta) -> None:
+    """Make files look as old as that, as copies with preserved times do."""
+    for path in paths:
+        file, system = _folder(spark, path)
+        now = system.getFileStatus(file).getModificationTime()
+        system.setTimes(file, now - int(age.total_seconds() * 1000), -1)

@@ -67,10 +67,13 @@ def test_string_documents_decode(lines):
         '{"payload":{"op":"d","after":null}}',
         None,
         "garbage",
+        '{"payload":{"op":"c","after":"damaged {"}}',
+        '{"payload":{"op":"c","after":"{\\"sensor_type\\":\\"t\\",\\"measurement\\":\\"9O\\"}"}}',
     )
     found = rows(decode_document_envelopes(messages))
     assert found[-1] == ("t", 85.0, datetime.datetime(2024, 9, 1, 10), "c", True)
-    assert [r[4] for r in found[:3]] == [False] * 3
+    assert [r[4] for r in found[:5]] == [False] * 5
+    assert all(r[:3] == (None, None, None) for r in found[:5])
     # A row image expected where a string stands gives no row, and the other way about.
     assert changed_rows(decode_envelopes(messages)).count() == 0
 

@@ -9,6 +9,7 @@ from conftest import rows
 
 from lakeline.__main__ import main
 from lakeline.config import TableTarget, Target
+from lakeline.sinks import read_version
 from lakeline.sources import read_lines, read_target
 
 
@@ -61,11 +62,54 @@ def test_enrolments(spark, tmp_path, store, folder):
             }
         )
     )
-    main(["enrolments", str(config), "--documents", store("docs", "json"), "--staging", folder("s")])
+    command = ["enrolments", str(config), "--documents", store("docs", "json")]
+    main([*command, "--staging", folder("s")])
     assert rows(spark.read.json(folder("docs", "sexo")).select("sexo", "count")) == [("F", 1), ("M", 1)]
     assert spark.read.json(folder("docs", "students")).count() == 2
 
 
+def test_questions_about_an_admission(spark, tmp_path, store, folder):
+    source = tmp_path / "students.csv"
+    source.write_text(
+        "forma_ingresso;sexo;nome_curso;intake_date;birth_year\n"
+        "SiSU;M;FISICA;2024-02-01;2000\nSiSU;F;LETRAS;2023-02-01;2000\nX;F;FISICA;2024-02-01;2001\n"
+    )
+    config = tmp_path / "config.json"
+    fields = ["url", "database", "collection", "delimiter", "header", "inferSchema", "arquivo_entrada"]
+    values = ["mongodb://example.invalid/", "d", "students", ";", True, True, str(source)]
+    config.write_text(json.dumps(dict(zip(fields, values, strict=True))))
+    period = ["--since", "2024-01-01", "--until", "2025-01-01"]
+    asked = ["--admission", "SiSU", "--course", "FISICA", *period]
+    main(["enrolments", str(config), "--documents", store("docs", "json"), *asked])
+    read = lambda name: rows(spark.read.json(folder("docs", name)))
+    assert read("ages") == [(23, 1), (24, 1)] and read("count_in_course") == [(1,)]
+    assert read("count_in_period") == [(1,)] and read("top_courses_in_period") == [(1, "FISICA")]
+    assert read("sexes_by_admission") == [(1, "F"), (1, "M")]
+
+
+def test_rejects_are_written_if_asked_for(spark, tmp_path, folder):
+    salaries = tmp_path / "salaries.csv"
+    salaries.write_text('"D,J1",X,$5.00,$1.00\n"D,J2",X,$none,$1.00\n')
+    main(["salaries", str(salaries), folder("top"), "--rejects", folder("rejects")])
+    assert rows(read_lines(spark, folder("rejects"))) == [('"D,J2",X,$none,$1.00',)]
+
+
+def test_lake_updates_by_sensor(spark, tmp_path, store, folder):
+    lake = tmp_path / "lake"
+    lake.mkdir()
+    (lake / "a.csv").write_text(
+        "sensor_id,sensor_type,measurement,timestamp\ns1,t,85,2024-09-01 10:00:00\ns1,t,8S,2024-09-01 10:00:00\n"
+    )
+    table = store("table", "parquet")
+    main([
+        "lake", str(lake), "--key", "sensor_id", "--key", "sensor_type", "--table", table,
+        "--checkpoint", folder("c"), "--option", "maxFilesPerTrigger=1", "--rejects", folder("rejects"),
+    ])
+    health = read_version(spark, TableTarget.load(table).named("sensor_health"))
+    assert rows(health.select("sensor_id", "n", "status")) == [("s1", 1, "ok")]
+    assert spark.read.json(folder("rejects")).count() == 1
+
+
 def test_lake_and_migration(spark, tmp_path, store, folder):
     lake = tmp_path / "lake"
     lake.mkdir()

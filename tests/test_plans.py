@@ -9,9 +9,12 @@ import pytest
 
 import __spark_entry__ as contract
 from lakeline import testviews as V
+from lakeline.operators.dashboard import dashboard_tables
+from lakeline.operators.rollup import merge_rollups, rollup
 from lakeline.operators.sensors import sensor_health
 from lakeline.plans.payroll import title_counts
 from lakeline.plans.salaries import top_salaries
+from lakeline.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="test tables are not there")
@@ -27,7 +30,7 @@ def plan(spark):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(n for n in contract.queries() if not n.startswith(("stream", "lake", "migrate")))
+    "name", sorted(n for n in QUERIES if not n.startswith(("stream", "live")))
 )
 def test_no_plan_multiplies_rows_or_leaves_the_jvm(plan, name):
     text = plan(name)
@@ -63,6 +66,23 @@ def test_health_groups_by_hash_and_counts_before_the_shuffle(spark):
     assert "partial_avg" in text and "SortAggregate" not in text
 
 
+def test_rollups_group_by_hash_in_one_shuffle(spark):
+    readings = V.instants(V.sensors(V.table(spark, SF_DIR, "events")))
+    totals = rollup(readings, ["sensor_id"])
+    for df in (totals, merge_rollups(totals.unionByName(totals), ["sensor_id"])):
+        assert "SortAggregate" not in plan_of(df) and "partial_sum" in plan_of(df)
+    assert plan_of(totals).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("table", ["sensor_metrics", "sensor_health", "sensor_buckets", "sensors_online"])
+def test_tables_of_a_batch_group_by_hash(spark, tmp_path, table):
+    readings = V.instants(V.sensors(V.table(spark, SF_DIR, "events")))
+    rollup(readings, ["sensor_id"]).write.parquet(str(tmp_path / "rollup"))
+    totals = merge_rollups(spark.read.parquet(str(tmp_path / "rollup")), ["sensor_id"])
+    text = plan_of(dashboard_tables(totals, ["sensor_id"])[table])
+    assert "SortAggregate" not in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
 def test_distinct_titles_take_two_shuffles_and_the_final_order(spark):
     text = plan_of(title_counts(V.payroll(V.table(spark, SF_DIR, "orders"))))
     assert text.count("Exchange hashpartitioning") == 2

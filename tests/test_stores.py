@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import os
+import time
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -10,25 +13,34 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lakeline.config import DocTarget, TableTarget
-from lakeline.operators.sensors import class_counts, sensor_metrics
+from lakeline.operators.dashboard import TABLES
+from lakeline.operators.rollup import rollup
+from lakeline.operators.sensors import class_counts, sensor_health, sensor_metrics, sensors_online
 from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates
+from lakeline.schemas import lake_schema
 from lakeline.sinks import (
     migrate,
+    read_version,
     save,
     write_batch,
     write_docs,
     write_lake_csv,
     write_lake_json,
     write_metrics,
+    write_version,
 )
-from lakeline.sinks.stores import missing_rows
+from lakeline.sinks.files import children
+from lakeline.sinks.stores import accepted_mode, missing_rows
 from lakeline.sources import (
     read_docs,
+    read_lake_rejects,
     read_sensor_csv,
     read_sensor_json,
     read_sensor_lake,
     read_target,
 )
+from lakeline.sources.stores import split_options
+from lakeline.streaming import RollupStore
 
 T0 = datetime.datetime(2024, 9, 1, 10)
 
@@ -36,16 +48,18 @@ T0 = datetime.datetime(2024, 9, 1, 10)
 @pytest.fixture
 def lake(tmp_path):
     """Files as other programs leave them: whole numbers here, decimals there, one JSON array."""
-    (tmp_path / "a.csv").write_text("sensor_type,measurement,timestamp\nt,85,2024-09-01 10:00:00\n")
-    (tmp_path / "b.csv").write_text(
+    path = tmp_path / "lake"
+    path.mkdir()
+    (path / "a.csv").write_text("sensor_type,measurement,timestamp\nt,85,2024-09-01 10:00:00\n")
+    (path / "b.csv").write_text(
         "sensor_type,measurement,timestamp\nt,-1.0,2024-09-01 10:00:01\nt,,2024-09-01 10:00:02\n"
     )
-    (tmp_path / "c.json").write_text(
+    (path / "c.json").write_text(
         '[{"sensor_type":"t","measurement":85,"timestamp":"2024-09-01 10:00:03"},'
         '{"sensor_type":"t","measurement":null,"timestamp":"2024-09-01 10:00:04"}]'
     )
-    (tmp_path / "notes.txt").write_text("not a reading\n")
-    return str(tmp_path)
+    (path / "notes.txt").write_text("not a reading\n")
+    return str(path)
 
 
 def test_lake_reads_both_formats(spark, lake):
@@ -179,18 +193,111 @@ def test_dashboard_from_the_lake(spark, lake, folder):
     assert tables["sensor_smoothing"].count() == 1
 
 
-def test_lake_updates_read_new_files_only(spark, lake, tmp_path, folder):
-    table, health = TableTarget.parquet_files(folder("t")), TableTarget.parquet_files(folder("h"))
+HEADER = "sensor_type,measurement,timestamp\n"
+
+
+def test_lake_updates_read_new_files_only_however_old(spark, lake, folder):
+    base = TableTarget.parquet_files(folder("tables"))
+    targets = {name: [base.named(name)] for name in TABLES}
 
     def update():
-        queries = start_lake_updates(spark, lake, [table], [health], folder("checkpoint"))
-        for query in queries:
-            query.awaitTermination()
-        read = sum(p.numInputRows for p in queries[0].recentProgress)
-        return read, rows(read_target(spark, table))[0], rows(read_target(spark, health))[0][1]
+        query = start_lake_updates(spark, lake, targets, folder("checkpoint"), fold=2)
+        query.awaitTermination()
+        read = sum(p.numInputRows for p in query.recentProgress)
+        tables = {name: read_version(spark, stores[0]) for name, stores in targets.items()}
+        return read, rows(tables["sensor_metrics"])[0], tables
 
     mean = (85.0 - 1.0 + 85.0) / 3
-    assert update() == (5, (mean, 3, 85.0), 5)
-    assert update() == (0, (mean, 3, 85.0), 5)
-    (tmp_path / "d.csv").write_text("sensor_type,measurement,timestamp\nt,95,2024-09-01 10:00:05\n")
-    assert update() == (1, (66.0, 3, pytest.approx(265.0 / 3)), 6)
+    assert update()[:2] == (5, (mean, 3, 85.0))
+    assert update()[:2] == (0, (mean, 3, 85.0))
+    (Path(lake) / "d.csv").write_text(HEADER + "t,95,2024-09-01 10:00:05\n")
+    os.utime(Path(lake) / "d.csv", (time.time() - 9 * 86400,) * 2)
+    assert update()[:2] == (1, (66.0, 3, pytest.approx(265.0 / 3)))
+    (Path(lake) / "e.csv").write_text(HEADER + "t,85,2024-09-01 12:00:00\nu,85,2024-09-01 12:00:01\n")
+    read, _, tables = update()
+    assert read == 2
+    batch = lake_metrics(spark, lake)
+    for name in TABLES:
+        assert rows(tables[name]) == rows(batch[name])
+    assert len(children(spark, folder("checkpoint", "rollups"))) <= 2
+
+
+def test_rollups_of_a_repeated_batch_count_once(spark, readings, folder):
+    store = RollupStore(spark, folder("rollups"), ["sensor_type"], fold=3)
+    totals = rollup(readings, ["sensor_type"])
+    for batch in (0, 0, 1, 1, 2, 2, 3, 1):
+        store.add(totals, batch)
+    assert store.totals().agg(F.sum("n")).first()[0] == 3 * 4
+
+
+def test_a_half_written_snapshot_is_passed_over(spark, readings, folder):
+    store = RollupStore(spark, folder("rollups"), ["sensor_type"], fold=8)
+    totals = rollup(readings, ["sensor_type"])
+    store.add(totals, 0)
+    totals.write.parquet(folder("rollups", "snapshot-5"))
+    os.remove(folder("rollups", "snapshot-5", "_SUCCESS"))
+    store.add(totals, 1)
+    assert store.totals().agg(F.sum("n")).first()[0] == 6
+
+
+def test_tables_as_of_a_moment_know_nothing_later(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        HEADER
+        + "a,90,2024-09-01 10:00:00\na,91,2024-09-01 10:20:00\n"
+        + "b,92,2024-09-01 05:00:00\nb,93,2024-09-02 10:00:00\n"
+    )
+    as_of = T0.replace(minute=10)
+    tables = lake_metrics(spark, str(tmp_path), as_of=as_of)
+    assert rows(tables["sensors_online"]) == [("a", T0, 90.0)]
+    health = {r.sensor_type: (r.n, r.status) for r in tables["sensor_health"].collect()}
+    assert health == {"a": (1, "ok"), "b": (1, "offline")}
+    readings = read_sensor_lake(spark, str(tmp_path))
+    assert rows(sensors_online(readings, ["sensor_type"], as_of)) == [("a", T0, 90.0)]
+    direct = sensor_health(readings, ["sensor_type"], as_of)
+    assert {r.sensor_type: (r.n, r.status) for r in direct.collect()} == health
+
+
+def test_damaged_lines_are_rejects_not_readings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "t,9O.0,2024-09-01 10:00:00\nt,,2024-09-01 10:00:01\nt,5\n")
+    (tmp_path / "b.json").write_text('{"sensor_type":"t","measurement":85,"timest\n{"sensor_type":"t"}\n')
+    readings = read_sensor_lake(spark, str(tmp_path))
+    assert readings.count() == 2 and readings.select("sensor_type").count() == 2
+    assert rows(class_counts(readings)) == [("invalid", 2)]
+    rejects = [r.value for r in read_lake_rejects(spark, str(tmp_path)).collect()]
+    assert sorted(rejects) == ["t,5", "t,9O.0,2024-09-01 10:00:00", '{"sensor_type":"t","measurement":85,"timest']
+
+
+def test_lake_files_with_a_key_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sensor_id," + HEADER + "s1,t,85,2024-09-01 10:00:00\ns2,t,,2024-09-01 10:00:00\n")
+    keys = ["sensor_id", "sensor_type"]
+    health = lake_metrics(spark, str(tmp_path), keys, schema=lake_schema(keys))["sensor_health"]
+    assert rows(health.select("sensor_id", "status")) == [("s1", "ok"), ("s2", "faulty")]
+
+
+def test_a_new_version_replaces_the_older_ones_when_it_is_whole(spark, readings, folder):
+    target = TableTarget.parquet_files(folder("t"))
+    for version in (0, 1, 1):
+        write_version(readings.where(F.lit(version == 1)), [target], version)
+    assert read_version(spark, target).count() == 3
+    readings.write.parquet(folder("t", "version=7"))
+    os.remove(folder("t", "version=7", "_SUCCESS"))
+    assert children(spark, folder("t")) and read_version(spark, target).count() == 3
+
+
+def test_modes_a_connector_accepts():
+    mongo, files = DocTarget.mongo("mongodb://x/", "d", "c"), DocTarget.json_files("/x")
+    assert accepted_mode(mongo, "errorifexists", False) == "append"
+    assert accepted_mode(mongo, "overwrite", True) == "overwrite"
+    assert accepted_mode(files, "errorifexists", True) == "errorifexists"
+    with pytest.raises(ValueError, match="holds"):
+        accepted_mode(mongo, "errorifexists", True)
+
+
+def test_tables_are_copied_in_parts():
+    options = {"url": "jdbc:x", "dbtable": "t"}
+    parts = {**options, "partitionColumn": "id", "numPartitions": "8"}
+    assert split_options(parts) == parts
+    assert split_options({**options, "numPartitions": "1"}) == options
+    for unsplit in (options, {**options, "numPartitions": "8"}, {**options, "partitionColumn": "id"}):
+        with pytest.raises(ValueError, match="numPartitions"):
+            split_options(unsplit)
