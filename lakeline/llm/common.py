@@ -36,8 +36,8 @@ def ascii_lower(text: Column) -> Column:
 class Staging:
     """Tables written to the folder all executors share, which cut the lineage.
 
-    ``drop`` removes a table when its readers are done; what is still there when a
-    lazy result is returned must stay until that is read.
+    ``drop`` removes a table when its readers are done, and ``finish`` stages a result
+    and removes all others, so that nothing but the result stays behind.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -52,14 +52,23 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Remove staged tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        """Remove staged tables that nothing reads any more; others are left alone."""
         for table in tables:
             for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
                 if "/" + self.base.rsplit("/", 1)[-1] + "/" in path:
-                    target = jvm.org.apache.hadoop.fs.Path(path)
-                    target.getFileSystem(conf).delete(target, True)
+                    self._remove(path)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result, staged; all tables staged before it are gone."""
+        kept = self.keep(result)
+        for number in range(self._count - 1):
+            self._remove(f"{self.base}/{number}")
+        return kept
+
+    def _remove(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        target.getFileSystem(conf).delete(target, True)
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:

@@ -67,12 +67,14 @@ def mark_copies(
         F.max("doc_id").over(group).alias("keep_id"),
         F.count(F.lit(1)).over(group).alias("group_size"),
     )
-    return heavy.unionByName(light).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    return staging.finish(
+        heavy.unionByName(light).select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+        )
     )
 
 

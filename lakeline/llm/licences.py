@@ -332,12 +332,15 @@ def find_licences(
         .agg(similarity.alias("similarity"))
         .where(F.col("similarity") >= least_similarity)
     )
-    return numbered.select("row", "doc_id", "paragraph").join(confirmed, "row").select(
-        "doc_id",
-        "paragraph",
-        "family",
-        F.round("probability", 6).alias("probability"),
-        F.round("similarity", 6).alias("similarity"),
+    found = numbered.select("row", "doc_id", "paragraph").join(confirmed, "row")
+    return staging.finish(
+        found.select(
+            "doc_id",
+            "paragraph",
+            "family",
+            F.round("probability", 6).alias("probability"),
+            F.round("similarity", 6).alias("similarity"),
+        )
     )
 
 

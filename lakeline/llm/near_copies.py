@@ -154,12 +154,14 @@ def near_copies(
     alone = small.where("digest IS NULL").withColumn("component", F.col("doc_id"))
     placed = small.where("digest IS NOT NULL").join(node_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.unionByName(alone).select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-        "text_key",
+    return staging.finish(
+        placed.unionByName(alone).select(
+            "doc_id",
+            "n_shingles",
+            component.alias("component_id"),
+            F.col("doc_id").eqNullSafe(component).alias("kept"),
+            "text_key",
+        )
     )
 
 

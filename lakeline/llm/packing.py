@@ -122,7 +122,7 @@ def pack(
         before, count, level = count, rest.count(), level + 1
         if count >= before:
             raise RuntimeError("reworked bins must become fewer")
-    return result
+    return staging.finish(result)
 
 
 def _pack_blocks(

@@ -326,9 +326,8 @@ def find_spans(
     staging = Staging(docs.sparkSession, "personal")
     scanned = staging.keep(scan(docs, id_col, text_col))
     model = learn_spans(scanned)
-    return scanned.mapInArrow(
-        _decided(model, threshold), f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>"
-    )
+    schema = f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>"
+    return staging.finish(scanned.mapInArrow(_decided(model, threshold), schema))
 
 
 class _Likely:

@@ -81,11 +81,8 @@ def top_k(
     )
     found = pieces.mapInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return staging.finish(ranked.select("query_id", "rank", "vec_id", "score"))
 
 
 def _each(blocks: int) -> Column:
