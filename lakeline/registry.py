@@ -631,7 +631,7 @@ def _(spark, sf_dir):
     """Messages arrive as files; the cumulative metrics of the last micro-batch are shown."""
     topic = scratch_path(spark, "topic")
     V.envelopes(_sensors(spark, sf_dir)).write.json(topic)
-    files = len(spark.read.text(topic).inputFiles())
+    files = len(V.data_files(spark, topic))
     per_batch = str(max(1, math.ceil(files / 4)))
     messages = read_envelope_files(spark, topic, maxFilesPerTrigger=per_batch)
     base = scratch_path(spark, "running-metrics")
