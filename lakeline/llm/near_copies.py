@@ -22,8 +22,10 @@ from lakeline.llm.shingles import (
     universal_family,
 )
 
-#: Rows of a bucket that are compared with each other or with as many others in one piece.
+#: Rows of a bucket whose signatures are compared with each other or with as many others in one
+#: piece, and of a cluster whose full sets are.
 TILE = 512
+EXACT_TILE = 128
 #: Documents whose shingle sets a task remembers while it confirms pairs.
 SETS = 256
 
@@ -141,7 +143,9 @@ def near_copies(
         sizes = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         links = links.unionByName(
             staging.keep(
-                _in_pieces(held.join(sizes, "cluster"), "cluster", ["root", "code", "text"])
+                _in_pieces(
+                    held.join(sizes, "cluster"), "cluster", ["root", "code", "text"], EXACT_TILE
+                )
                 .mapInArrow(_pairs_within(likeness, exact=True), "u long, v long")
             )
         )
@@ -198,12 +202,12 @@ def _best_hubs(members: DataFrame) -> DataFrame:
     return counts.groupBy("node").agg(best.alias("v")).select(F.col("node").alias("u"), "v")
 
 
-def _in_pieces(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+def _in_pieces(rows: DataFrame, group: str, columns: list[str], tile: int) -> DataFrame:
     """Rows of a group of ``size`` nodes, cut into tiles; each pair of tiles is a piece.
 
     Rows come sorted by piece, so a piece is read in one go.
     """
-    tiles = F.ceil(F.col("size") / TILE)
+    tiles = F.ceil(F.col("size") / tile)
     return (
         rows.withColumn("tiles", tiles)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
@@ -220,7 +224,7 @@ def _in_pieces(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
 def _likely_pairs(still: DataFrame, codes: DataFrame, likeness: Likeness) -> DataFrame:
     """Pairs of components, as few as connect those with agreeing signatures in a bucket."""
-    pieces = _in_pieces(still.join(codes, "node"), "bucket", ["root", "code"])
+    pieces = _in_pieces(still.join(codes, "node"), "bucket", ["root", "code"], TILE)
     return pieces.mapInArrow(_pairs_within(likeness, exact=False), "u long, v long").distinct()
 
 
