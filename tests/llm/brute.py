@@ -72,15 +72,10 @@ def base_spans(text):
 
 
 def repeated_places(texts, length):
-    """{id: places} where so many words in a row stand in a document with a smaller id too."""
-    found = {i: words(t) for i, t in texts.items()}
-    first = {}
-    for i in sorted(found):
-        for j in range(len(found[i]) - length + 1):
-            first.setdefault(tuple(found[i][j : j + length]), i)
-    places = defaultdict(set)
-    for i, w in found.items():
-        for j in range(len(w) - length + 1):
-            if first[tuple(w[j : j + length])] != i:
-                places[i].add(j)
-    return places
+    """For each run of so many words that several documents hold, its places in each of them."""
+    places = defaultdict(lambda: defaultdict(list))
+    for i, text in texts.items():
+        found = words(text)
+        for j in range(len(found) - length + 1):
+            places[tuple(found[j : j + length])][i].append(j)
+    return {run: dict(found) for run, found in places.items() if len(found) > 1}
