@@ -141,14 +141,11 @@ def near_copies(
         texts = texts_for(parts.select(F.col("node").alias("doc_id")))
         held = parts.join(codes, "node").join(texts, "node")
         sizes = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        links = links.unionByName(
-            staging.keep(
-                _in_pieces(
-                    held.join(sizes, "cluster"), "cluster", ["root", "code", "text"], EXACT_TILE
-                )
-                .mapInArrow(_pairs_within(likeness, exact=True), "u long, v long")
-            )
+        pieces = _in_pieces(
+            held.join(sizes, "cluster"), "cluster", ["root", "code", "text"], EXACT_TILE
         )
+        found = pieces.mapInArrow(_pairs_within(likeness, exact=True), "u long, v long")
+        links = links.unionByName(staging.keep(found))
         roots = components(links, staging)
     node_of = nodes.join(roots, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("component")
