@@ -152,6 +152,21 @@ def test_hot_seeds_and_runs_of_one_word(spark, documents, prose):
     assert all(r.source_id < r.doc_id for r in found if r.doc_id < 150)
 
 
+def test_a_passage_whose_lines_stand_in_earlier_documents(spark, documents, prose):
+    passage = prose(40, 60).split()
+    first, last = " ".join(passage[:30]), " ".join(passage[30:])
+    rows = [
+        (1, f"{prose(41, 50)} {first} {prose(42, 50)}"),
+        (2, f"{prose(43, 50)} {last} {prose(44, 50)}"),
+        (3, f"{prose(45, 200)} {last} {prose(46, 50)} {first} {prose(47, 50)}"),
+        (8, f"{prose(48, 40)} {' '.join(passage)} {prose(49, 40)}"),
+        (9, f"{prose(50, 20)} {' '.join(passage)} {prose(51, 70)}"),
+    ]
+    found = shared_passages(documents(*rows)).collect()
+    assert [(r.doc_id, r.source_id) for r in found] == [(9, 8)]
+    assert found[0].start == 20 and found[0].stop == 80 and found[0].matched == 60
+
+
 def test_no_documents_no_passages(spark, documents):
     assert shared_passages(documents()).count() == 0
 
