@@ -167,6 +167,19 @@ def test_a_passage_whose_lines_stand_in_earlier_documents(spark, documents, pros
     assert found[0].start == 20 and found[0].stop == 80 and found[0].matched == 60
 
 
+def test_passages_with_a_changed_word_in_every_few(spark, documents, prose):
+    rows, expected = [], set()
+    for n, (size, every) in enumerate([(50, 10), (50, 8), (50, 6), (50, 5), (80, 8), (80, 6), (80, 5)] * 4):
+        passage = prose(1000 + n, size).split()
+        changed = [f"x{n}y{i}" if i % every == every // 2 else w for i, w in enumerate(passage)]
+        rows.append((2 * n + 1, f"{prose(2000 + n, 60)} {' '.join(passage)} {prose(3000 + n, 60)}"))
+        rows.append((2 * n + 2, f"{prose(4000 + n, 60)} {' '.join(changed)} {prose(5000 + n, 60)}"))
+        expected.add((2 * n + 2, 2 * n + 1))
+    found = shared_passages(documents(*rows)).collect()
+    assert {(r.doc_id, r.source_id) for r in found} == expected
+    assert all(r.similarity >= 0.8 for r in found)
+
+
 def test_no_documents_no_passages(spark, documents):
     assert shared_passages(documents()).count() == 0
 
