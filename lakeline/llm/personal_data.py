@@ -9,6 +9,8 @@ vote patterns. The posteriors then train the classifier that decides on a span.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,21 +35,43 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 #: Spans the method may add. Their kinds differ from the fixed ones.
 ADDED_KINDS = ("account", "date_of_birth", "handle", "name", "national_id", "secret")
+#: Capitalised words of any alphabet with case, also with hyphens, and with marks written apart.
+UPPER = "".join(c for c in map(chr, range(1 << 16)) if c.isupper() and c.isalpha())
+#: The others are rare: one range around them, which is quicker to match, and then a look at the letter.
+BEYOND = f"\U00010000-{chr(sys.maxunicode)}"
+_LETTER, _MARKS = "[^\\W\\d_]", "[\u0300-\u036f]*"
+_UP, _LOW = f"[{UPPER}{BEYOND}]{_MARKS}", f"(?:[^\\W\\d_{UPPER}]{_MARKS})"
+_PART = f"{_UP}(?:['\u2019]{_UP})?{_LOW}+(?:{_UP}{_LOW}+)*"
+_NAME = f"{_PART}(?:-{_PART})*"
+_NAME_END = f"(?!{_LETTER}|[-'\u2019]{_LETTER})"
+ONE_WORD = re.compile(_NAME + _NAME_END)
+TWO_WORDS = re.compile(f"{_NAME} {_NAME}{_NAME_END}")
+TITLES = frozenset("mr mrs ms dr prof herr frau señor señora monsieur madame sr sra m mme".split())
+_TITLES = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
+TITLED = re.compile(f"(?<!{_LETTER})(?i:{_TITLES})\\.? \\Z")
 #: What a candidate looks like: the widest reading, of which the labelers judge each.
 CANDIDATES = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?:(?i:passw(?:or)?d|pwd|api[_-]?key|token|secret)[ ]?[=:][ ]?[\"']?[^\s,;\"']{6,120}|[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9]))"),
+    "secret": re.compile(r"(?<![A-Za-z0-9])(?:(?i:passw(?:or)?d|pwd|api[_-]?key|token|secret)[ ]?[=:][ ]?[\"']?[^\s,;\"']{6,}|[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9]))"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "date_of_birth": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])"),
     "handle": re.compile(r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@.-])"),
-    "name": re.compile(r"(?<![^\W\d_])[A-Z][a-z]{1,15} [A-Z][a-z]{1,15}(?![^\W\d_])"),
+    # Where a capitalised word starts.
+    "name": re.compile(f"[{UPPER}{BEYOND}](?<!{_LETTER}.)(?<!{_LETTER}[-'\u2019\u0300-\u036f].)"),
 }
+
+
+def _folded(word: str) -> str:
+    """Without accents, however they are written."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 FIRST_NAMES = frozenset(
     "Anna Alice Bob Carlos Charles Daniel David Elena Emma Eva Hans James Jean John José Juan "
     "Julia Karl Laura Linda Luis Maria Marie Mark Mary Michael Patricia Paul Peter Pierre Robert "
     "Sarah Sofia Susan Thomas William".split()
 )
-TITLES = frozenset("mr mrs ms dr prof herr frau señor señora monsieur madame sr sra m mme".split())
+FOLDED_FIRST_NAMES = frozenset(map(_folded, FIRST_NAMES))
 CUES = {
     "secret": frozenset("password passwd key secret token credentials login access aws".split()),
     "account": frozenset("iban account bank konto cuenta compte transfer pay".split()),
@@ -132,21 +156,27 @@ def _plausible(kind: str, span: str) -> int:
     return SILENT
 
 
+def _titled(text: str, start: int) -> bool:
+    return text[start - 1 : start] == " " and TITLED.search(text, max(0, start - 16), start) is not None
+
+
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """One vote of each labeler on a candidate."""
     span = text[start:end]
     before = [w.lower() for w in WORD.findall(text[max(0, start - WINDOW) : start])][-5:]
     after = [w.lower() for w in WORD.findall(text[end : end + WINDOW])][:3]
-    inside = WORD.findall(span)
+    inside = WORD.findall(_folded(span) if kind == "name" else span)
     gazetteer = SILENT
+    # After a title stands a name, be it a first name or a surname.
+    titled = kind == "name" and _titled(text, start)
     if kind == "name":
-        gazetteer = YES if inside[0] in FIRST_NAMES else NO
+        gazetteer = YES if inside[0] in FOLDED_FIRST_NAMES else SILENT if titled else NO
     elif kind == "secret":
         known = any(w.lower() in CUES["secret"] for w in inside) or span.startswith("AKIA")
         gazetteer = YES if known else NO
     near = any(w in CUES[kind] for w in before)
     return (
-        _plausible(kind, span),
+        YES if titled else _plausible(kind, span),
         gazetteer,
         YES if near else SILENT,
         YES if any(w in CUES[kind] for w in after) else SILENT,
@@ -166,15 +196,33 @@ def shape(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     )
 
 
+def _places(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the candidates of a kind, by start.
+
+    A name is each two capitalised words side by side, so these may overlap, or one after a title.
+    """
+    pattern = CANDIDATES[kind]
+    if kind != "name":
+        yield from (m.span() for m in pattern.finditer(text))
+        return
+    for m in pattern.finditer(text):
+        start = m.start()
+        if not m[0].isupper():
+            continue
+        if two := TWO_WORDS.match(text, start):
+            yield two.span()
+        elif _titled(text, start) and (one := ONE_WORD.match(text, start)):
+            yield one.span()
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
     """Base spans, and candidates outside them with their votes and shape as a key."""
     base = base_spans(text)
     taken = sorted((start, end) for _, start, end in base)
     candidates = []
-    for kind, pattern in CANDIDATES.items():
+    for kind in CANDIDATES:
         i = 0
-        for m in pattern.finditer(text):
-            start, end = m.span()
+        for start, end in _places(kind, text):
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
             if i < len(taken) and taken[i][0] < end:
@@ -317,7 +365,9 @@ def find_spans(
     """``doc_id, base, spans``: the fixed kinds' spans, and all spans, by start and kind.
 
     Candidates that the classifier holds for personal data with at least the
-    threshold are added; they never overlap a base span. Spans count code points,
+    threshold are added; they never overlap a base span. Every two capitalised words
+    side by side are a candidate for a name, and likely ones that overlap are one name.
+    Spans count code points,
     their end is exclusive.
 
     Null text is empty and has no spans. Rows without id and repeated rows are
@@ -346,8 +396,15 @@ class _Likely:
         return self._known[key]
 
     def spans(self, base: list[dict], candidates: list[dict]) -> list[tuple[str, int, int]]:
-        found = [*base, *(c for c in candidates if self._judge(c["key"]))]
-        spans = [(s["kind"], s["start"], s["stop"]) for s in found]
+        likely = [c for c in candidates if self._judge(c["key"])]
+        spans = [(s["kind"], s["start"], s["stop"]) for s in (*base, *likely) if s["kind"] != "name"]
+        names: list[tuple[str, int, int]] = []
+        for s in (s for s in likely if s["kind"] == "name"):
+            if names and s["start"] < names[-1][2]:  # two readings of one longer name
+                names[-1] = ("name", names[-1][1], max(names[-1][2], s["stop"]))
+            else:
+                names.append(("name", s["start"], s["stop"]))
+        spans += names
         return sorted(spans, key=lambda s: (s[1], self._order[s[0]]))
 
 

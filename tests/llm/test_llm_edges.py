@@ -340,6 +340,26 @@ def test_spans_and_masks_of_odd_rows(documents):
     assert blotted("abcdef", [("x", 1, 4), ("y", 2, 5)]) == "a[X]f"
 
 
+def test_names_behind_cues_titles_and_in_other_letters(documents):
+    texts = [
+        "Dear John Smith, welcome", "Contact Mary Jones today", "Signed Anna Alice", "mail to José García now",
+        "so Dr. Müller came", "and Frau Özdemir left", "author Jean-Pierre Łukasz-Weiß wrote", "then Mr. Smith spoke",
+        "by Anna Maria Lopez", "we saw Old Harbour there",
+    ]
+    names = [
+        "John Smith", "Mary Jones", "Anna Alice", "José García", "Müller", "Özdemir",
+        "Jean-Pierre Łukasz-Weiß", "Smith", "Anna Maria Lopez", None,
+    ]
+    secret = "token=" + "a1b2c3d4" * 40
+    rows = [*enumerate(texts * 5), (900, f"key {secret} end")]
+    found = as_dict(find_spans(documents(*rows)), "doc_id", "spans")
+    for i, text in rows[:-1]:
+        expected = names[i % len(names)]
+        assert [text[s.start : s.stop] for s in found[i][0]] == ([expected] if expected else []), text
+    masked = as_dict(mask(documents(*rows)), "doc_id", "text")
+    assert masked[900][0] == "key [SECRET] end" and masked[0][0] == "Dear [NAME], welcome"
+
+
 def test_agreement_tells_reliable_labelers_from_others():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.3
