@@ -134,6 +134,8 @@ ANCHORS = frozenset(
     "unencumbered unlicense waived warranties".split()
 )
 LONGEST_GRAM = 3
+#: Words of a window of a long line, and from the start of one to that of the next.
+WIDTH, STEP = 64, 32
 
 
 @dataclass(frozen=True)
@@ -277,6 +279,9 @@ def find_licences(
     a table of a fixed few thousand rows; their weights give the likeliest family and
     its probability, or the unknown class. A prediction holds if it is confirmed by a
     template of the family: by the share of common n-grams in the smaller of both.
+    A long line is judged in overlapping windows of ``WIDTH`` words, and equal families
+    of a line are one row. Where a family is found, the n-grams of its templates are set
+    aside and the rest is judged again, until nothing more is found.
 
     Null and empty texts hold no notice. Rows without id and repeated rows are
     scanned like any other. An empty table gives an empty result.
@@ -292,19 +297,74 @@ def find_licences(
     )
     words = F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != "")
     staging = Staging(spark, "licences")
-    row = F.monotonically_increasing_id().alias("row")  # written down, so it stays what it is
-    numbered = staging.keep(lines.select(row, "doc_id", "paragraph", words.alias("words")))
+    last = F.greatest(F.lit(0), F.ceil((F.size("words") - WIDTH) / STEP).cast("int") * STEP)
+    starts = F.sequence(F.lit(0), last, F.lit(STEP))
+    windows = F.transform(starts, lambda i: F.slice("words", i + 1, WIDTH))
+    number = F.monotonically_increasing_id()  # written down, so it stays what it is
+    anchors = F.array(*[F.lit(a) for a in sorted(ANCHORS)])
+    numbered = staging.keep(
+        lines.select(number.alias("line"), "doc_id", "paragraph", words.alias("words"))
+        .select("line", "doc_id", "paragraph", F.explode(windows).alias("words"))
+        .where(F.arrays_overlap("words", anchors))
+        .select(number.alias("row"), "line", "doc_id", "paragraph", "words")
+    )
     # Staged as well, so that its rows do not stand in every plan.
     table = staging.keep(_table(spark, model))
-    hits = numbered.select("row", F.explode(_grams(F.col("words"))).alias("gram")).join(
+    rows = numbered.select("row", "words", F.array().cast("array<string>").alias("gone"))
+    found: list[DataFrame] = []
+    while True:
+        confirmed = _confirmed(rows, table, model, least_probability, least_similarity, staging)
+        found.append(confirmed)
+        if confirmed.isEmpty():
+            break
+        gone = F.concat("gone", F.array("family"))
+        rows = staging.keep(
+            rows.join(confirmed.select("row", "family"), "row").select("row", "words", gone.alias("gone"))
+        )
+    everything = found[0]
+    for more in found[1:]:
+        everything = everything.unionByName(more)
+    best = (
+        numbered.select("row", "line", "doc_id", "paragraph")
+        .join(everything, "row")
+        .groupBy("line", "doc_id", "paragraph", "family")
+        .agg(F.max(F.struct("probability", "similarity")).alias("best"))
+    )
+    return staging.finish(
+        best.select(
+            "doc_id",
+            "paragraph",
+            "family",
+            F.round("best.probability", 6).alias("probability"),
+            F.round("best.similarity", 6).alias("similarity"),
+        )
+    )
+
+
+def _confirmed(
+    rows: DataFrame,
+    table: DataFrame,
+    model: LicenceModel,
+    least_probability: float,
+    least_similarity: float,
+    staging: Staging,
+) -> DataFrame:
+    """The likeliest family of each row without n-grams of the families that are ``gone``, if a template confirms it."""
+    hits = rows.select("row", "gone", F.explode(_grams(F.col("words"))).alias("gram")).join(
         F.broadcast(table), "gram"
     )
-    sums = F.array(*[F.sum(F.get("weights", F.lit(i))) for i in range(len(model.families))])
+    named = F.array(*[F.lit(f) for f in model.template_families])
+    fresh = ~F.arrays_overlap(F.transform("templates", lambda t: F.get(named, t)), "gone")
+    fresh = F.coalesce(fresh, F.lit(True))
+    sums = F.array(
+        *[F.sum(F.when(fresh, F.get("weights", F.lit(i)))) for i in range(len(model.families))]
+    )
     bias = F.array(*[F.lit(b) for b in model.bias])
     logits = F.zip_with("sums", bias, lambda w, b: (w + b) / model.temperature)
     scores = staging.keep(
         hits.groupBy("row")
-        .agg(F.count("*").alias("size"), sums.alias("sums"))
+        .agg(F.count("*").alias("size"), F.count_if(fresh).alias("fresh"), sums.alias("sums"))
+        .where("fresh > 0")
         .select("row", "size", logits.alias("logits"))
     )
     top = F.array_max("logits")
@@ -316,8 +376,9 @@ def find_licences(
         F.get(families, (F.array_position("logits", top) - 1).cast("int")).alias("family"),
         (1 / total).alias("probability"),
     ).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability))
+    # Not named again: a family that is gone keeps the probability it was found with.
+    likely = likely.join(rows.select("row", "gone"), "row").where(~F.array_contains("gone", F.col("family")))
     matched = hits.select("row", F.explode("templates").alias("template")).groupBy("row", "template")
-    named = F.array(*[F.lit(f) for f in model.template_families])
     sizes = F.array(*[F.lit(s) for s in model.template_sizes])
     common = matched.agg(F.count("*").alias("common")).select(
         "row",
@@ -326,22 +387,12 @@ def find_licences(
         F.get(sizes, F.col("template")).alias("template_size"),
     )
     similarity = F.max(F.col("common") / F.least("size", "template_size"))
-    confirmed = (
+    return staging.keep(
         likely.join(common, ["row", "family"])
         .groupBy("row", "family", "probability")
         .agg(similarity.alias("similarity"))
         .where(F.col("similarity") >= least_similarity)
     )
-    found = numbered.select("row", "doc_id", "paragraph").join(confirmed, "row")
-    return staging.finish(
-        found.select(
-            "doc_id",
-            "paragraph",
-            "family",
-            F.round("probability", 6).alias("probability"),
-            F.round("similarity", 6).alias("similarity"),
-        )
-    )
 
 
 def _grams(words: Column) -> Column:

@@ -315,6 +315,13 @@ def test_crossing_keeps_every_item_and_room():
     assert search.cost(best) <= search.cost(mother)
 
 
+def test_lines_with_several_licences_and_very_long_lines(documents, prose):
+    far = f"{prose(1, 3000)} Released under the MIT License. {prose(2, 3000)} Licensed under the Apache License, Version 2.0. {prose(3, 500)}"
+    rows = [(1, "MIT License or Apache License, Version 2.0"), (2, far), (3, "Released under the MIT License.")]
+    found = {(r.doc_id, r.family) for r in find_licences(documents(*rows)).collect()}
+    assert found == {(1, "mit"), (1, "apache-2.0"), (2, "mit"), (2, "apache-2.0"), (3, "mit")}
+
+
 # 8: personal data
 
 
