@@ -2,14 +2,11 @@ from __future__ import annotations
 
 import os
 import random
-import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import base_spans, near_components
+from llm.brute import base_spans, near_components
 from pyspark.sql import functions as F
 
 from lakeline.llm import near_copies as near_module

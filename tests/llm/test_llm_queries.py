@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import base_spans, near_components, repeated_places
+from llm.brute import base_spans, near_components, repeated_places
 from tokenizers import Tokenizer
 
 import corpus_pipeline
