@@ -5,12 +5,21 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import SparkConf, SparkContext
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(p) for p in Path(__file__).resolve().parents[:2]]
 
 from lakeline.session import build_session  # noqa: E402
 
 
+def _shared_folder(tmp_path_factory):
+    """A checkpoint folder, unless the machine's settings name one: a running session cannot get it."""
+    SparkContext._ensure_initialized()
+    if SparkConf().contains("spark.checkpoint.dir"):
+        return {}
+    return {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))}
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
@@ -20,11 +29,10 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.sql.maxMetadataStringLength": "2000",
+            **_shared_folder(tmp_path_factory),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
@@ -47,8 +55,3 @@ def folder(tmp_path):
         return str(tmp_path.joinpath(*parts))
 
     return make
-
-
-def rows(df):
-    """All rows as a sorted list of tuples; NULL sorts first."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, str(v)) for v in r])

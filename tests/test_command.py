@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from lakeline.__main__ import main
 from lakeline.config import TableTarget, Target

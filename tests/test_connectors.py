@@ -5,7 +5,7 @@ from __future__ import annotations
 from unittest import mock
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from lakeline.config import DocTarget, TableTarget
 from lakeline.sinks import write_batch, write_metrics, write_table

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import AnalysisException
 
 from lakeline.config import CsvOptions, DocTarget, JobConfig

@@ -6,7 +6,7 @@ import datetime
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

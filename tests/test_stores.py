@@ -8,7 +8,7 @@ import time
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

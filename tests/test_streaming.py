@@ -7,7 +7,7 @@ import json
 import os
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from lakeline.config import DocTarget, TableTarget

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import rows
+from helpers import rows
 
 from lakeline.operators.counting import count_by, having_over, top_k
 from lakeline.operators.rows import drop_second_row
