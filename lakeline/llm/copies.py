@@ -79,14 +79,23 @@ def mark_copies(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """One document of each group, with all its columns.
 
-    Rows that repeat the winning id and its text all stay, as they share their verdict.
+    Of rows that repeat the winning id and its text any one stays.
     """
-    losers = mark_copies(docs, id_col, text_col).where(~F.col("kept"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (
-        F.sha2(ascii_lower(text), 256) == F.col("_digest")
-    )
-    losers = losers.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    return docs.join(losers, same, "left_anti")
+    marks = mark_copies(docs, id_col, text_col)
+    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+
+    def among(rows: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+        keys = marked.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+        same = rows[id_col].cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+        return rows.join(keys, same, how)
+
+    staying = among(docs, marks.where(~F.col("kept")), "left_anti")
+    winners = marks.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+    repeated = winners.where("rows > 1").drop("rows")
+    if repeated.isEmpty():
+        return staying
+    once = among(staying, repeated, "left_semi").withColumn("_digest", digest)
+    once = once.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return among(staying, repeated, "left_anti").unionByName(once)

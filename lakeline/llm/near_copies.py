@@ -72,8 +72,10 @@ def near_copies(
 
     Null text is empty; a text without words has no shingle and is linked with
     nothing. A row without id takes part in no link: its component is null, and it
-    is kept. Rows that repeat an id count each; ``text_key``, a hash of the text, tells
-    them apart. An empty table gives an empty result.
+    is kept. Rows that repeat an id count each, and texts under one id are linked only
+    if they are alike; ``text_key``, a hash of the text, tells them apart. However
+    often a row is repeated, its text is compared once. An empty table gives an empty
+    result.
     """
     staging = Staging(docs.sparkSession, "near")
     raw = docs.select(
@@ -87,12 +89,19 @@ def near_copies(
             "doc_id long, text_key long, n_shingles long, digest binary, signature binary, code binary",
         )
     )
+    # One row for each set, whatever the number of rows or ids that hold it.
     nodes = staging.keep(
-        signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    )
-    signatures = staging.keep(
-        signed.join(nodes, "digest").where("doc_id = node").select("node", "signature", "code")
+        signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(
+            F.min(F.struct("doc_id", "text_key")).alias("least"),
+            F.first("signature").alias("signature"),
+            F.first("code").alias("code"),
+        )
+        .select("digest", "least.*", "signature", "code")
+        .withColumn("node", F.monotonically_increasing_id())
     )
+    signatures = nodes.select("node", "signature", "code")
     buckets = signatures.select("node", "signature").mapInArrow(
         _bands(likeness), "bucket long, node long"
     )
@@ -103,8 +112,9 @@ def near_copies(
     codes = signatures.select("node", "code")
 
     def texts_for(ids: DataFrame) -> DataFrame:
-        wanted = raw.join(ids.distinct(), "doc_id", "left_semi")
-        return wanted.select(F.col("doc_id").alias("node"), "text")
+        """One text of each node."""
+        wanted = nodes.select("node", "doc_id", "text_key").join(ids.distinct(), "node", "left_semi")
+        return raw.join(wanted, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``u > v`` that are links."""
@@ -113,7 +123,7 @@ def near_copies(
                 _agreeing(likeness.least_agreement), "u long, v long"
             )
         )
-        ids = likely.select(F.col("u").alias("doc_id")).union(likely.select("v"))
+        ids = likely.select(F.col("u").alias("node")).union(likely.select("v"))
         texts = staging.keep(texts_for(ids))
         links = staging.keep(
             _side_by_side(likely, texts, "text").mapInArrow(_linked(likeness), "u long, v long")
@@ -138,7 +148,7 @@ def near_copies(
             .distinct()
             .join(clusters.selectExpr("node AS root", "root AS cluster"), "root")
         )
-        texts = texts_for(parts.select(F.col("node").alias("doc_id")))
+        texts = texts_for(parts.select("node"))
         held = parts.join(codes, "node").join(texts, "node")
         sizes = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         pieces = _in_pieces(
@@ -147,9 +157,10 @@ def near_copies(
         found = pieces.mapInArrow(_pairs_within(likeness, exact=True), "u long, v long")
         links = links.unionByName(staging.keep(found))
         roots = components(links, staging)
-    node_of = nodes.join(roots, "node", "left").select(
-        "digest", F.coalesce("root", "node").alias("component")
-    )
+    rooted = nodes.select("digest", "doc_id", "node").join(roots, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    node_of = rooted.join(least, "root").select("digest", "component")
     small = signed.select("doc_id", "text_key", "n_shingles", "digest")
     # Texts without words may be many and need no join.
     alone = small.where("digest IS NULL").withColumn("component", F.col("doc_id"))

@@ -226,7 +226,9 @@ def test_copies_with_odd_rows(documents):
     assert mark_copies(documents()).count() == 0
     stay = drop_copies(documents(*rows))
     assert "seed" in stay.columns
-    assert sorted(str(r.doc_id) for r in stay.collect()) == ["2", "3", "3", "9", "None"]
+    assert sorted(str(r.doc_id) for r in stay.collect()) == ["2", "3", "9", "None"]
+    nobody = drop_copies(documents(*[(None, "same")] * 5, (1, "own"), (1, "own"))).collect()
+    assert sorted(str(r.doc_id) for r in nobody) == ["1", "None"]
 
 
 def test_a_frequent_text_is_not_shuffled(documents):
@@ -431,6 +433,21 @@ def test_near_copies_with_odd_rows(documents, prose):
     assert near_copies(documents()).count() == 0
 
 
+def test_near_copies_repeated_many_times(documents, prose):
+    base = prose(7, 300)
+    rows = [(1, base)] * 100 + [(2, f"{base} end")] * 100 + [(3, prose(8, 300))]
+    found = near_copies(documents(*rows)).collect()
+    assert len(found) == 201
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), (2, 1, False), (3, 3, True)}
+
+
+def test_texts_under_one_id_are_linked_apart(documents, prose):
+    one, two = prose(21, 100), prose(22, 100)
+    rows = [(5, one), (5, two), (3, f"{two} end"), (9, f"{one} end")]
+    found = near_copies(documents(*rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_a_large_group_near_the_threshold(documents, prose, monkeypatch):
     monkeypatch.setattr(near_module, "TILE", 16)
     monkeypatch.setattr(near_module, "EXACT_TILE", 16)
