@@ -16,6 +16,7 @@ from lakeline.llm.oracle import ORACLE
 from lakeline.llm.packing import pack
 from lakeline.llm.passages import shared_passages
 from lakeline.llm.personal_data import KINDS, find_spans
+from lakeline.llm.repeats import find_repeats
 from lakeline.llm.topk import top_k
 from lakeline.llm.toxicity import held_out, learn, score
 from lakeline.llm.url_rules import judge_urls
@@ -109,3 +110,45 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     likeness = Likeness(words=3, percent=85)
     return near_copies(read_table(spark, sf_dir, "documents"), likeness).drop("text_key")
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """The documents, of which one in ten repeats a stretch of its words up to the end."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    looped = docs.withColumns({"hash": hashed, "words": F.when(hashed % 10 == 0, words)})
+    looped = looped.withColumns({"n": F.size("words"), "g": F.floor(F.col("hash") / 10)})
+    looped = looped.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    looped = looped.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    text = F.expr(
+        "array_join(transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])), ' ')"
+    )
+    return looped.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(with_loops(read_table(spark, sf_dir, "documents")))
+    # Greatest exponent first, compared as an exact fraction.
+    order = """(l, r) -> CASE
+        WHEN l.length * r.period <> r.length * l.period
+        THEN if(l.length * r.period > r.length * l.period, -1, 1)
+        WHEN l.start <> r.start THEN if(l.start < r.start, -1, 1)
+        ELSE if(l.period < r.period, -1, 1) END"""
+    ranked = found.withColumn("best", F.get(F.expr(f"array_sort(runs, {order})"), F.lit(0)))
+    listed = F.array_join(
+        F.transform(
+            "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+        ),
+        "",
+    )
+    return ranked.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
