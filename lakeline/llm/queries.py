@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeline.llm.bpe import decode, encode
 from lakeline.llm.common import read_table
+from lakeline.llm.conversations import digest_turns, repair_conversations
 from lakeline.llm.copies import mark_copies
 from lakeline.llm.licences import find_licences
 from lakeline.llm.near_copies import Likeness, near_copies
@@ -152,3 +153,38 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of which some are lost, emptied, cut, repeated or given to the user, with ``copy``."""
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")],
+        (F.crc32(named.cast("binary")) % 20).alias("fault"),
+    )
+    text = F.when(F.col("fault") == 1, "")
+    text = text.when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where("fault <> 0").select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")
+    )
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(conversations), copy_col="copy")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    own = conversations.select(F.col("conv_id").alias("id")).distinct()
+    same = F.col("id").eqNullSafe(F.col("conv_id"))
+    digests = digest_turns(repair.turns)
+    found = own.join(repair.audits, same, "left").drop("conv_id").join(digests, same, "left")
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
