@@ -11,6 +11,7 @@ from lakeline.llm.bpe import decode, encode
 from lakeline.llm.common import read_table
 from lakeline.llm.conversations import digest_turns, repair_conversations
 from lakeline.llm.copies import mark_copies
+from lakeline.llm.leaks import find_leaks
 from lakeline.llm.licences import find_licences
 from lakeline.llm.near_copies import Likeness, near_copies
 from lakeline.llm.oracle import ORACLE
@@ -188,3 +189,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+@register
+def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )

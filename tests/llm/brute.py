@@ -166,3 +166,28 @@ def periodic_runs(found):
                     runs.append((i, length, period))
             i = max(end, i) + 1
     return sorted(runs, key=lambda r: (r[0], r[2]))
+
+
+PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def leaks(texts, items, window):
+    """{id: (words, words hit, sorted items)}; ``items`` are pairs of an id and a text."""
+    owners = defaultdict(set)
+    for item, text in items:
+        found = PLAIN_WORD.findall((text or "").translate(TO_LOWER))
+        for i in range(max(len(found) - window + 1, 1) if found and item is not None else 0):
+            owners[tuple(found[i : i + window])].add(item)
+    lengths = sorted({len(phrase) for phrase in owners})
+    result = {}
+    for key, text in texts.items():
+        found = PLAIN_WORD.findall((text or "").translate(TO_LOWER))
+        hit, held = set(), set()
+        for n in lengths:
+            for i in range(len(found) - n + 1):
+                phrase = tuple(found[i : i + n])
+                if phrase in owners:
+                    held |= owners[phrase]
+                    hit |= set(range(i, i + n))
+        result[key] = (len(found), len(hit), sorted(held))
+    return result

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
-from llm.brute import base_spans, near_components, repeated_places
+from llm.brute import (
+    WORD,
+    base_spans,
+    cheapest_edits,
+    damaged_rows,
+    leaks,
+    near_components,
+    periodic_runs,
+    repeated_places,
+)
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,7 +39,7 @@ def test_the_entry_registers_all_of_them():
 
     assert set(contract.queries()) >= {*QUERIES, "pipeline"}
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -162,3 +172,53 @@ def test_stages_of_the_pipeline(spark, sf_dir, texts, tmp_path):
     assert set(masked) == set(near)
     assert not any(base_spans(t) for t in masked.values())
     assert {r.doc_id for r in docs.select("doc_id").collect()} == set(masked)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_periodic_runs_equal_a_search_of_every_period(spark, sf_dir, texts):
+    found = {r.doc_id: r for r in QUERIES["op11_periodic_runs"](spark, sf_dir).collect()}
+    assert set(found) == set(texts)
+    looped = 0
+    for i, text in texts.items():
+        own, h = WORD.findall(text), zlib.crc32(str(i).encode())
+        n, g = len(own), h // 10
+        if h % 10 == 0 and n:
+            looped += 1
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            own = [own[j] if j < a else own[a + (j - a) % p] for j in range(n)]
+        if n > 2500:  # too long for a search of every period
+            continue
+        runs = periodic_runs(own)
+        dropped = {j for start, length, q in runs for j in range(start + q, start + length)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+        row = found[i]
+        assert (row.n_runs, row.start, row.length, row.period) == (len(runs), *best)
+        assert row.exponent_milli == (1000 * best[1] // best[2] if runs else None)
+        assert row.runs_sha256 == sha("".join(f"{a},{b},{c}\n" for a, b, c in runs))
+        assert row.collapsed_sha256 == sha(" ".join(w for j, w in enumerate(own) if j not in dropped))
+    assert looped > 5
+
+
+def test_repairs_equal_a_search_of_all_edits(spark, sf_dir, tables):
+    rows = tables.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    expected = {}
+    for conv, left in damaged_rows(rows).items():
+        *numbers, text = cheapest_edits(left)
+        expected[conv] = (*numbers, sha(text))
+    found = QUERIES["op12_conversation_repair"](spark, sf_dir).collect()
+    assert {r.conv_id: tuple(r)[1:] for r in found} == expected and len(found) == len(expected)
+
+
+def test_leaks_equal_a_search_of_every_window(spark, sf_dir, texts, tables):
+    items = tables.execute("SELECT item_id, text FROM benchmark").fetchall()
+    expected = {
+        i: (n, hit, len(held), sha(",".join(sorted(map(str, held)))), hit > 0)
+        for i, (n, hit, held) in leaks(texts, items, 10).items()
+    }
+    found = QUERIES["op13_benchmark_leaks"](spark, sf_dir).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in found} == expected and len(found) == len(expected)
+    assert any(hit for _, hit, *_ in expected.values())
