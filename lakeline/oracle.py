@@ -142,6 +142,13 @@ _DOCUMENTS = f"""
          date_trunc('second', "timestamp") AS "timestamp", 'c' AS op, true AS has_row
   FROM ({SENSORS})"""
 
+def _current(where: str = "true") -> str:
+    """The last change of each sensor, unless it deleted the row."""
+    return f"""
+      SELECT last.* FROM (SELECT arg_max(s, id) AS last FROM ({SENSORS}) s WHERE {where} GROUP BY sensor_id)
+      WHERE last.sensor_type <> 'signup'"""
+
+
 ORACLE: dict[str, str] = {
     "login_events": "SELECT 'u' || user_id AS username FROM events WHERE event_type = 'click'",
     "login_rejects": """
@@ -210,6 +217,9 @@ ORACLE: dict[str, str] = {
                         WHEN sensor_type <> 'purchase' THEN 'c' END AS op,
                    sensor_type NOT IN ('signup', 'purchase', 'view', 'error') AS has_row, measurement
             FROM ({SENSORS})) GROUP BY ALL""",
+    "cdc_fold": _current(),
+    "cdc_rows_at": _current("id <= (SELECT max(event_id) // 2 FROM events)"),
+    "cdc_current_table": _current(),
     "sensor_metrics": _metrics(SENSORS),
     "sensor_classes": f"""
       SELECT {_CLASS} AS class, count(*) AS n FROM ({SENSORS}) GROUP BY 1""",

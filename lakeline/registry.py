@@ -19,6 +19,7 @@ from lakeline.config import DocTarget, JobConfig, TableTarget
 from lakeline.operators import enrolment
 from lakeline.operators.cdc import changed_rows, decode_document_envelopes, decode_envelopes
 from lakeline.operators.counting import count_by
+from lakeline.operators.current import current_rows, decode_changes, fold_changes, rows_at
 from lakeline.operators.dashboard import dashboard_tables
 from lakeline.operators.rollup import rollup
 from lakeline.operators.rows import drop_second_row
@@ -67,7 +68,9 @@ from lakeline.sources import (
 )
 from lakeline.streaming import (
     latest_state,
+    read_current,
     run_to_end,
+    start_current_table,
     start_dashboard,
     start_json_sink,
     start_keyed_state,
@@ -623,6 +626,53 @@ def _(spark, sf_dir):
     return _rounded_metrics(_both(read_docs(spark, docs), read_target(spark, rows)))
 
 
+# --- current tables from changes ---------------------------------------------
+
+#: Files of a micro-batch of the streams below.
+FILES_A_BATCH = 4
+CHANGE_KEY = (SENSOR_DOC["sensor_id"],)
+
+
+def _changes(messages):
+    return decode_changes(
+        messages, CHANGE_KEY, measurement_type="double", precision="micro", extra=ENVELOPE_KEYS[:1]
+    )
+
+
+def _current(rows):
+    return V.wall_clock(rows.select(SENSOR_DOC.names), "timestamp")
+
+
+@query("cdc_fold")
+def _(spark, sf_dir):
+    """The current table from all changes at once."""
+    messages = V.change_messages(_sensors(spark, sf_dir))
+    return _current(current_rows(fold_changes(_changes(messages), ["sensor_id"])))
+
+
+@query("cdc_rows_at")
+def _(spark, sf_dir):
+    """The table as it was when half of the log was written."""
+    readings = _sensors(spark, sf_dir)
+    half = F.struct(readings.agg(F.floor(F.max("id") / 2)).scalar().alias("lsn"))
+    return _current(rows_at(_changes(V.change_messages(readings)), ["sensor_id"], half))
+
+
+@query("cdc_current_table")
+def _(spark, sf_dir):
+    """The same kept by a stream, whose messages come late and more than once."""
+    topic, base = scratch_path(spark, "changes"), scratch_path(spark, "current")
+    for part in V.changes_out_of_order(_sensors(spark, sf_dir)):
+        part.repartition(FILES_A_BATCH).write.mode("append").json(topic)
+    messages = read_envelope_files(spark, topic, maxFilesPerTrigger=str(FILES_A_BATCH))
+    query = start_current_table(
+        _changes(messages), ["sensor_id"], f"{base}/rows", f"{base}/checkpoint", DRAIN, fold=2
+    )
+    run_to_end(query)
+    _ran_several(query)
+    return _current(read_current(spark, f"{base}/rows", ["sensor_id"]))
+
+
 # --- streams ----------------------------------------------------------------
 
 

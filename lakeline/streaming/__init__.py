@@ -1,5 +1,6 @@
 """Streaming jobs; each returns a running StreamingQuery."""
 
+from lakeline.streaming.current import current_store, read_current, start_current_table
 from lakeline.streaming.dashboard import RollupStore, start_dashboard
 from lakeline.streaming.jobs import (
     latest_state,
@@ -12,8 +13,11 @@ from lakeline.streaming.jobs import (
 
 __all__ = [
     "RollupStore",
+    "current_store",
     "latest_state",
+    "read_current",
     "run_to_end",
+    "start_current_table",
     "start_dashboard",
     "start_json_sink",
     "start_keyed_state",

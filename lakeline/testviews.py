@@ -172,6 +172,44 @@ def _change(op: Column, has_row: Column) -> Column:
     return F.to_json(F.struct(payload.alias("payload")), {"ignoreNullFields": "false"})
 
 
+def change_messages(readings: DataFrame) -> DataFrame:
+    """Every reading as a change of its sensor's row: signups delete it. ``id`` is the log position."""
+    deleted = F.col("sensor_type") == "signup"
+    key = F.struct("sensor_id")
+    row = F.struct(
+        "sensor_id",
+        "id",
+        "sensor_type",
+        "measurement",
+        wall_clock_to_micros(F.col("timestamp")).alias("timestamp"),
+    )
+    moment = F.floor(wall_clock_to_micros(F.col("timestamp")) / 1000).alias("ts_ms")
+    payload = F.struct(
+        F.when(deleted, "d").otherwise("u").alias("op"),
+        F.when(deleted, key).alias("before"),
+        F.when(~deleted, row).alias("after"),
+        F.struct(F.col("id").alias("lsn"), moment).alias("source"),
+    )
+    message = F.to_json(F.struct(payload.alias("payload")), {"ignoreNullFields": "false"})
+    return readings.select(message.alias("value"), "id", "sensor_id")
+
+
+def changes_out_of_order(readings: DataFrame, parts: int = 4) -> list[DataFrame]:
+    """The change messages as they may arrive: in no order, every fifth one a second time later, with
+    tombstones and damaged ones among them."""
+    messages = change_messages(readings)
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    again = F.pmod(F.xxhash64("id", F.lit("again")), F.lit(5)) == 0
+    noise = F.when(F.col("id") % 2 == 0, F.concat(F.lit("damaged "), F.col("value")))
+    arriving = []
+    for number in range(parts):
+        first = messages.where(part == number)
+        repeated = messages.where(again & (part == number - 1))
+        noisy = messages.where((F.col("id") % 50 == 0) & (part == number)).withColumn("value", noise)
+        arriving.append(first.unionByName(repeated).unionByName(noisy).select("value"))
+    return arriving
+
+
 def document_envelopes(readings: DataFrame) -> DataFrame:
     """Change messages of a document store: ``after`` is the document as JSON text."""
     payload = F.struct(F.lit("c").alias("op"), _document().alias("after"))
