@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeline.functions.readings import (
@@ -67,13 +67,17 @@ def rollup(
     return grouped.select(*keys, start.alias("bucket"), *totals)
 
 
-def merge_rollups(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per sensor and bucket from rollups of parts of the readings."""
+def merge_rollups(totals: DataFrame, keys: Sequence[str], *further: Column) -> DataFrame:
+    """One row per sensor and bucket from rollups of parts of the readings.
+
+    ``further`` aggregates merge columns that a caller added.
+    """
     sums = [c for c in totals.columns if c.startswith(("n", "sum_")) and c not in keys]
     merged = totals.groupBy(*keys, "bucket").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("last_seen").alias("last_seen"),
         F.max_by("last_measurement", "last_seen").alias("last_measurement"),
+        *further,
     )
     return merged.select(totals.columns)
 

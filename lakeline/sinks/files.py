@@ -49,6 +49,18 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with wildcards."""
+    files, system = _file_system(spark, pattern)
+    return [s.getPath().toString() for s in system.globStatus(files) or []]
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """An empty file; there may be one already."""
+    file, system = _file_system(spark, path)
+    system.create(file, True).close()
+
+
 def is_committed(spark: SparkSession, path: str) -> bool:
     """Whether a job that wrote this directory came to its end."""
     return "_SUCCESS" in children(spark, path)

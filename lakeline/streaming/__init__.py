@@ -1,7 +1,7 @@
 """Streaming jobs; each returns a running StreamingQuery."""
 
 from lakeline.streaming.current import current_store, read_current, start_current_table
-from lakeline.streaming.dashboard import RollupStore, start_dashboard
+from lakeline.streaming.dashboard import DashboardStore, start_dashboard
 from lakeline.streaming.jobs import (
     latest_state,
     run_to_end,
@@ -10,9 +10,11 @@ from lakeline.streaming.jobs import (
     start_running_metrics,
     windowed_means,
 )
+from lakeline.streaming.runs import RunStore
 
 __all__ = [
-    "RollupStore",
+    "DashboardStore",
+    "RunStore",
     "current_store",
     "latest_state",
     "read_current",
