@@ -232,6 +232,7 @@ ORACLE: dict[str, str] = {
     "ingest_csv_inferred": f"""
       SELECT id, admission, sex, course, birth_year FROM ({STUDENTS})""",
     "ingest_json": _READINGS,
+    "ingest_json_arrays": _READINGS,
     "ingest_lake": _READINGS,
     "lake_metrics": _BOTH.format(_metrics(SENSORS)),
     "lake_health": _BOTH.format(_health("sensor_type")),

@@ -59,6 +59,7 @@ from lakeline.sources import (
     read_csv,
     read_docs,
     read_envelope_files,
+    read_json_readings,
     read_key_values,
     read_lake_rejects,
     read_lines,
@@ -455,6 +456,14 @@ def _(spark, sf_dir):
     return V.wall_clock(read_sensor_json(spark, path), "timestamp")
 
 
+@query("ingest_json_arrays")
+def _(spark, sf_dir):
+    """Files of a single line, each of which Spark splits between tasks."""
+    path = scratch_path(spark, "json-arrays")
+    V.one_line_arrays(_sensors(spark, sf_dir)).write.partitionBy("part").text(path)
+    return V.wall_clock(read_json_readings(spark, f"{path}/*", glob="*.txt"), "timestamp")
+
+
 @query("ingest_lake")
 def _(spark, sf_dir):
     return V.wall_clock(read_sensor_lake(spark, _write_lake(spark, sf_dir)), "timestamp")

@@ -12,10 +12,12 @@ from lakeline.sources.files import (
     read_sensor_lake,
     stream_sensor_lake,
 )
+from lakeline.sources.json_arrays import json_objects, read_json_objects, read_json_readings
 from lakeline.sources.kafka import kafka_options, read_kafka
 from lakeline.sources.stores import jdbc_options, read_docs, read_jdbc, read_target, read_whole
 
 __all__ = [
+    "json_objects",
     "jdbc_options",
     "kafka_options",
     "read_csv",
@@ -23,6 +25,8 @@ __all__ = [
     "read_envelope_files",
     "read_jdbc",
     "read_kafka",
+    "read_json_objects",
+    "read_json_readings",
     "read_key_values",
     "read_lake_rejects",
     "read_lines",

@@ -97,7 +97,10 @@ def read_sensor_csv(spark: SparkSession, path: str, schema: StructType = READING
 
 
 def read_sensor_json(spark: SparkSession, path: str, schema: StructType = READING) -> DataFrame:
-    """All readings in ``.json`` files of a lake: one object, or one array of them, per line."""
+    """All readings in ``.json`` files of a lake: one object, or one array of them, per line.
+
+    One task reads a line; ``read_json_readings`` splits long ones.
+    """
     return _undamaged(_sensor_json(spark.read, path, schema))
 
 

@@ -264,6 +264,15 @@ def damaged_lake(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return halves.select(as_csv.alias("value")), halves.select(as_json.alias("value"))
 
 
+def one_line_arrays(readings: DataFrame) -> DataFrame:
+    """Arrays of some thousand readings by ``part``, each on a single line of JSON."""
+    time = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
+    row = F.to_json(F.struct("sensor_type", "measurement", time), {"ignoreNullFields": "false"})
+    parts = readings.select(F.floor(F.col("id") / 4000).alias("part"), row.alias("row"))
+    whole = F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]"))
+    return parts.groupBy("part").agg(whole.alias("value"))
+
+
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
