@@ -256,6 +256,12 @@ ORACLE: dict[str, str] = {
     "migrate_table_to_docs": SENSORS,
     "migrate_docs_to_table": SENSORS,
     "migrate_metrics": _BOTH.format(_metrics(SENSORS)),
+    "migrate_verify": """
+      SELECT min(event_id) AS id, 'lost' AS status, 1 AS n_source, 0 AS n_target FROM events
+      UNION ALL SELECT max(event_id), 'doubled', 1, 2 FROM events
+      UNION ALL SELECT max(event_id), 'changed', 1, 1 FROM events
+                WHERE event_id * 2 <= (SELECT max(event_id) FROM events)""",
+    "migrate_resumed": SENSORS,
     "metrics_dual_sink": _BOTH.format(_metrics(SENSORS)),
     "stream_cdc_metrics": _metrics(SENSORS, _FLOAT),
     "stream_lake_metrics": _BOTH.format(_metrics(SENSORS)),

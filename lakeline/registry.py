@@ -42,6 +42,7 @@ from lakeline.plans.migration import migrate_readings
 from lakeline.plans.payroll import payroll_lines, title_counts
 from lakeline.plans.salaries import parse_salaries, top_salaries
 from lakeline.plans.sensor_lake import lake_metrics, refresh, start_lake_updates
+from lakeline.plans.verification import copy_in_parts, differences, read_parts
 from lakeline.schemas import READING, lake_schema
 from lakeline.session import scratch_path
 from lakeline.sinks import (
@@ -627,6 +628,38 @@ def _(spark, sf_dir):
     )
 
 
+@query("migrate_verify")
+def _(spark, sf_dir):
+    """A copy in another format that lost a row, holds one twice and changed one."""
+    base = scratch_path(spark, "verify")
+    source = TableTarget.parquet_files(f"{base}/table")
+    target = DocTarget.json_files(f"{base}/docs", SENSOR_DOC)
+    readings = _sensors(spark, sf_dir)
+    save(readings, source)
+    first, last = readings.agg(F.min("id"), F.max("id")).first()
+    middle = readings.where(F.col("id") * 2 <= last).agg(F.max("id")).scalar()
+    value = F.when(F.col("id") == middle, F.coalesce("measurement", F.lit(0.0)) + 1).otherwise(F.col("measurement"))
+    copied = readings.where(F.col("id") != first).withColumn("measurement", value)
+    write_docs(copied.unionByName(readings.where(F.col("id") == last)), target)
+    return differences(read_target(spark, source), read_docs(spark, target), "id", fanout=16, leaf=500)
+
+
+@query("migrate_resumed")
+def _(spark, sf_dir):
+    """A copy in ranges that was broken half way, within a range, and went on."""
+    base = scratch_path(spark, "resumed")
+    source = TableTarget.parquet_files(f"{base}/table")
+    target = DocTarget.json_files(f"{base}/docs", SENSOR_DOC)
+    save(_sensors(spark, sf_dir), source)
+    if copy_in_parts(spark, source, target, "id", f"{base}/manifest", parts=6, at_most=3) != 3:
+        raise RuntimeError("the first run copies three ranges")
+    broken = read_target(spark, source).where(F.col("id") % 2 == 0)
+    broken.write.format("json").options(**target.named("part=3").options).save()
+    if copy_in_parts(spark, source, target, "id", f"{base}/manifest", parts=6) > 4:
+        raise RuntimeError("the second run copies what the first one left")
+    return read_parts(spark, target)
+
+
 @query("metrics_dual_sink")
 def _(spark, sf_dir):
     metrics = sensor_metrics(_sensors(spark, sf_dir))
