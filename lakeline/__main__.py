@@ -64,6 +64,10 @@ def _enrolments(spark: SparkSession, args: argparse.Namespace) -> None:
     store = DocTarget.load(args.documents) if args.documents else None
     target = (lambda name: store.named(name or config.collection)) if store else None
     questions = None
+    if (args.since is None) != (args.until is None):
+        raise SystemExit("--since and --until go together")
+    if not args.admission and (args.sex or args.course or args.since):
+        raise SystemExit("--sex, --course, --since and --until narrow the questions about --admission")
     if args.admission:
         questions = {"admission": args.admission, "sex": args.sex, "course": args.course}
         if args.since and args.until:

@@ -269,6 +269,16 @@ ORACLE: dict[str, str] = {
     "stream_lake_buckets": _BOTH.format(_rounded_buckets()),
     "stream_lake_smoothing": _BOTH.format(_smoothed()),
     "stream_lake_online": _BOTH.format(_seen("sensor_type")),
+    "stream_late_rows": f"""
+      WITH r AS (SELECT sensor_type, id % 7 = 0 AS last, "timestamp" AS seen,
+                        time_bucket(INTERVAL 1 HOUR, "timestamp") AS bucket FROM ({SENSORS})),
+      m AS (SELECT max(seen) FILTER (NOT last) - INTERVAL 10 MINUTE AS before,
+                   max(seen) - INTERVAL 10 MINUTE AS after FROM r),
+      k AS (SELECT sensor_type, bucket,
+                   CASE WHEN last AND bucket + INTERVAL 1 HOUR <= before THEN 'late'
+                        WHEN bucket + INTERVAL 1 HOUR <= after THEN 'closed' ELSE 'open' END AS kind
+            FROM r, m)
+      SELECT sensor_type, bucket, count(*) AS n, kind FROM k GROUP BY ALL""",
     "live_metrics": _BOTH.format(_metrics(SENSORS)),
     "live_health": _BOTH.format(_health("sensor_type")),
     "live_buckets": _BOTH.format(_rounded_buckets()),

@@ -71,8 +71,10 @@ from lakeline.sources import (
 )
 from lakeline.streaming import (
     latest_state,
+    open_buckets,
     read_current,
     run_to_end,
+    start_closed_buckets,
     start_current_table,
     start_dashboard,
     start_json_sink,
@@ -822,18 +824,22 @@ def _(spark, sf_dir):
     return _shown(_updated(spark, sf_dir, "sensors_online"), "sensors_online")
 
 
+def _late_topic(readings, topic):
+    """Messages of four micro-batches, in order of time but for every seventh reading: those come last."""
+    late = F.col("id") % 7 == 0
+    for first, last in ((1, 12), (13, 22), (23, 31)):
+        part = readings.where(~late & F.dayofmonth("timestamp").between(first, last))
+        V.envelopes(part).repartition(FILES_A_BATCH).write.mode("append").json(topic)
+    V.envelopes(readings.where(late)).repartition(FILES_A_BATCH).write.mode("append").json(topic)
+
+
 def _live(spark, sf_dir, name):
     """The dashboard kept from a topic, in several micro-batches, from both stores.
 
     The readings arrive in order of time, but for every seventh: those come last, late.
     """
     topic, base = scratch_path(spark, "topic"), scratch_path(spark, "live")
-    readings = _sensors(spark, sf_dir)
-    late = F.col("id") % 7 == 0
-    for first, last in ((1, 12), (13, 22), (23, 31)):
-        part = readings.where(~late & F.dayofmonth("timestamp").between(first, last))
-        V.envelopes(part).repartition(FILES_A_BATCH).write.mode("append").json(topic)
-    V.envelopes(readings.where(late)).repartition(FILES_A_BATCH).write.mode("append").json(topic)
+    _late_topic(_sensors(spark, sf_dir), topic)
     messages = read_envelope_files(spark, topic, maxFilesPerTrigger=str(FILES_A_BATCH))
     decoded = decode_envelopes(messages, measurement_type="double", precision="micro").where("has_row")
     targets = _dashboard_stores(base, name)
@@ -860,6 +866,26 @@ def _ran_several(query):
         raise RuntimeError(f"the stream ran as {len(batches)} micro-batch")
 
 
+@query("stream_late_rows")
+def _(spark, sf_dir):
+    """Every reading: in a closed bucket, in one that is open, or among the late ones."""
+    topic, base = scratch_path(spark, "topic"), scratch_path(spark, "late")
+    _late_topic(_sensors(spark, sf_dir), topic)
+    messages = read_envelope_files(spark, topic, maxFilesPerTrigger=str(FILES_A_BATCH))
+    readings = decode_envelopes(messages, measurement_type="double", precision="micro").where("has_row")
+    closed, late = (TableTarget.parquet_files(f"{base}/{name}") for name in ("closed", "late"))
+    keys = ["sensor_type"]
+    query = start_closed_buckets(readings, keys, [closed], [late], f"{base}/checkpoint", trigger=DRAIN)
+    run_to_end(query)
+    _ran_several(query)
+    means = read_target(spark, closed).select(*keys, "bucket", "n", F.lit("closed").alias("kind"))
+    still = open_buckets(spark, f"{base}/checkpoint", keys)
+    means = means.unionByName(still.select(*keys, "bucket", "n", F.lit("open").alias("kind")))
+    hour = F.date_trunc("hour", "timestamp").alias("bucket")
+    lost = read_target(spark, late).groupBy(*keys, hour).agg(F.count("*").alias("n"))
+    return V.wall_clock(means.unionByName(lost.withColumn("kind", F.lit("late"))), "bucket")
+
+
 @query("live_metrics")
 def _(spark, sf_dir):
     return _shown(_live(spark, sf_dir, "sensor_metrics"), "sensor_metrics")

@@ -10,6 +10,7 @@ from lakeline.streaming.jobs import (
     start_running_metrics,
     windowed_means,
 )
+from lakeline.streaming.late import open_buckets, start_closed_buckets
 from lakeline.streaming.runs import RunStore
 
 __all__ = [
@@ -17,8 +18,10 @@ __all__ = [
     "RunStore",
     "current_store",
     "latest_state",
+    "open_buckets",
     "read_current",
     "run_to_end",
+    "start_closed_buckets",
     "start_current_table",
     "start_dashboard",
     "start_json_sink",
