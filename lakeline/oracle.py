@@ -100,10 +100,6 @@ def _online(key: str, now: str = _NEWEST) -> str:
       HAVING max("timestamp") >= {now} - INTERVAL 1 HOUR"""
 
 
-def _seen(key: str) -> str:
-    return f"SELECT {key}, last_seen FROM ({_online(key)})"
-
-
 # A result saved to both stores and read back from each.
 _BOTH = "SELECT *, unnest(['documents', 'table']) AS target FROM ({})"
 
@@ -268,7 +264,7 @@ ORACLE: dict[str, str] = {
     "stream_lake_health": _BOTH.format(_health("sensor_type")),
     "stream_lake_buckets": _BOTH.format(_rounded_buckets()),
     "stream_lake_smoothing": _BOTH.format(_smoothed()),
-    "stream_lake_online": _BOTH.format(_seen("sensor_type")),
+    "stream_lake_online": _BOTH.format(_online("sensor_type")),
     "stream_late_rows": f"""
       WITH r AS (SELECT sensor_type, id % 7 = 0 AS last, "timestamp" AS seen,
                         time_bucket(INTERVAL 1 HOUR, "timestamp") AS bucket FROM ({SENSORS})),
@@ -283,7 +279,7 @@ ORACLE: dict[str, str] = {
     "live_health": _BOTH.format(_health("sensor_type")),
     "live_buckets": _BOTH.format(_rounded_buckets()),
     "live_smoothing": _BOTH.format(_smoothed()),
-    "live_online": _BOTH.format(_seen("sensor_type")),
+    "live_online": _BOTH.format(_online("sensor_type")),
     "stream_json_sink": SENSORS,
     "stream_docs_decode": _DOCUMENTS,
     "stream_buckets": _rounded_buckets(_CLOSED),
