@@ -100,6 +100,13 @@ def _online(key: str, now: str = _NEWEST) -> str:
       HAVING max("timestamp") >= {now} - INTERVAL 1 HOUR"""
 
 
+_OUTAGES = f"""
+  SELECT *, date_sub('second', silent_since, coalesce(back_at, {_NEWEST})) AS seconds FROM (
+    SELECT sensor_id, "timestamp" AS silent_since,
+           lead("timestamp") OVER (PARTITION BY sensor_id ORDER BY "timestamp") AS back_at
+    FROM ({SENSORS}) WHERE "timestamp" IS NOT NULL)
+  WHERE coalesce(back_at, {_NEWEST}) > silent_since + INTERVAL 1 HOUR"""
+
 # A result saved to both stores and read back from each.
 _BOTH = "SELECT *, unnest(['documents', 'table']) AS target FROM ({})"
 
@@ -224,6 +231,8 @@ ORACLE: dict[str, str] = {
     "sensor_smoothing": _smoothed(),
     "sensor_online": _online("sensor_id"),
     "sensor_online_as_of": _online("sensor_id", _AS_OF),
+    "sensor_outages": _OUTAGES,
+    "sensor_outages_merged": _OUTAGES,
     "ingest_csv": _READINGS,
     "ingest_csv_inferred": f"""
       SELECT id, admission, sex, course, birth_year FROM ({STUDENTS})""",

@@ -21,6 +21,7 @@ from lakeline.operators.cdc import changed_rows, decode_document_envelopes, deco
 from lakeline.operators.counting import count_by
 from lakeline.operators.current import current_rows, decode_changes, fold_changes, rows_at
 from lakeline.operators.dashboard import dashboard_tables
+from lakeline.operators.outages import merge_segments, online_segments, outages, sensor_outages
 from lakeline.operators.rollup import rollup
 from lakeline.operators.rows import drop_second_row
 from lakeline.operators.sensors import (
@@ -436,6 +437,23 @@ def _write_lake(spark, sf_dir):
     return path
 
 
+@query("sensor_outages")
+def _(spark, sf_dir):
+    return sensor_outages(_sensors(spark, sf_dir), ["sensor_id"])
+
+
+@query("sensor_outages_merged")
+def _(spark, sf_dir):
+    """The same from stored segments of parts of the readings, dealt without regard to time."""
+    path, keys = scratch_path(spark, "segments"), ["sensor_id"]
+    readings = _sensors(spark, sf_dir)
+    for part in range(3):
+        own = readings.where(F.pmod("id", F.lit(3)) == part)
+        online_segments(own, keys).write.mode("append").parquet(path)
+    merged = merge_segments(spark.read.parquet(path), keys)
+    return outages(merged, keys, newest(merged, "ended"))
+
+
 @query("ingest_csv")
 def _(spark, sf_dir):
     path = scratch_path(spark, "lake-csv")
