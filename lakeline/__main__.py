@@ -87,9 +87,9 @@ def _lake(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         refresh_from_lake(spark, args.input, targets, keys, schema=schema)
     if args.rejects:
-        read_lake_rejects(spark, args.input, schema).select("value", *READING.names).write.json(
-            args.rejects
-        )
+        # Those of all files so far, so a later run replaces them.
+        rejects = read_lake_rejects(spark, args.input, schema).select("value", *READING.names)
+        rejects.write.mode("overwrite").json(args.rejects)
 
 
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
