@@ -124,6 +124,10 @@ _TITLES = """
 _READINGS = f'SELECT sensor_type, measurement, "timestamp" FROM ({SENSORS})'
 
 
+def _whole(column: str) -> str:
+    return f"CASE WHEN max({column}) > 2147483647 THEN 'bigint' ELSE 'int' END"
+
+
 def _top5(where: str = "true") -> str:
     return f"""
       SELECT course, count(*) AS count FROM ({STUDENTS}) WHERE {where}
@@ -236,6 +240,22 @@ ORACLE: dict[str, str] = {
     "ingest_csv": _READINGS,
     "ingest_csv_inferred": f"""
       SELECT id, admission, sex, course, birth_year FROM ({STUDENTS})""",
+    "ingest_csv_types": f"""
+      SELECT "column", type, "values", blanks, before, changed_in FROM (
+        SELECT 'o_orderkey' AS "column", {_whole("o_orderkey")} AS type, count(*) AS "values",
+          0::BIGINT AS blanks, NULL::VARCHAR AS before, NULL::INTEGER AS changed_in FROM orders
+        UNION ALL SELECT 'customer', 'string', count(*), 0, {_whole("o_custkey")}, 1998 FROM orders
+        UNION ALL SELECT 'price', 'double', count(*) FILTER (o_orderstatus <> 'P'),
+          count(*) FILTER (o_orderstatus = 'P'), NULL, NULL FROM orders
+        UNION ALL SELECT 'placed', 'date', count(*), 0, NULL, NULL FROM orders
+        UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, NULL, NULL FROM orders)""",
+    "ingest_csv_by_profile": """
+      SELECT o_orderkey,
+        CASE WHEN year(o_orderdate) = 1998 THEN 'C-' ELSE '' END || o_custkey AS customer,
+        CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice::DOUBLE, 2) END AS price,
+        o_orderdate::DATE AS placed, o_orderstatus
+      FROM orders""",
+    "lake_compacted": _READINGS,
     "ingest_json": _READINGS,
     "ingest_json_arrays": _READINGS,
     "ingest_lake": _READINGS,

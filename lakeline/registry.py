@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeline import testviews as V
-from lakeline.config import DocTarget, JobConfig, TableTarget
+from lakeline.config import CsvOptions, DocTarget, JobConfig, TableTarget
 from lakeline.operators import enrolment
 from lakeline.operators.cdc import changed_rows, decode_document_envelopes, decode_envelopes
 from lakeline.operators.counting import count_by
@@ -37,6 +37,7 @@ from lakeline.operators.sensors import (
     with_status,
 )
 from lakeline.operators.smoothing import smooth
+from lakeline.plans.compaction import CompactedLake
 from lakeline.plans.enrolments import load_students
 from lakeline.plans.mail_logins import login_counts, login_events
 from lakeline.plans.migration import migrate_readings
@@ -58,6 +59,9 @@ from lakeline.sinks import (
     write_tsv,
 )
 from lakeline.sources import (
+    column_types,
+    infer_schema,
+    profile_csv,
     read_csv,
     read_docs,
     read_envelope_files,
@@ -69,6 +73,7 @@ from lakeline.sources import (
     read_sensor_json,
     read_sensor_lake,
     read_target,
+    type_changes,
 )
 from lakeline.streaming import (
     latest_state,
@@ -470,6 +475,59 @@ def _(spark, sf_dir):
     return loaded.withColumns({c: F.col(c).cast("bigint") for c in ("id", "birth_year")})
 
 
+def _order_files(spark, sf_dir):
+    """Orders as CSV, a folder a year; in the last one customers are no numbers any more."""
+    path = scratch_path(spark, "orders-csv")
+    year = F.year("o_orderdate")
+    customer = F.col("o_custkey").cast("string")
+    placed = _orders(spark, sf_dir).select(
+        "o_orderkey",
+        F.when(year == 1998, F.concat(F.lit("C-"), customer)).otherwise(customer).alias("customer"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
+        F.col("o_orderdate").cast("date").alias("placed"),
+        "o_orderstatus",
+        year.alias("year"),
+    )
+    placed.write.partitionBy("year").option("header", True).option("sep", ";").csv(path)
+    return f"{path}/*"
+
+
+@query("ingest_csv_types")
+def _(spark, sf_dir):
+    """Types of all columns, and the year whose files changed one."""
+    profile = profile_csv(spark, _order_files(spark, sf_dir))
+    changes = type_changes(profile).select(
+        "position", "before", F.regexp_extract("file", "year=([0-9]+)", 1).cast("int").alias("changed_in")
+    )
+    return column_types(profile).join(changes, "position", "left").drop("position")
+
+
+@query("ingest_csv_by_profile")
+def _(spark, sf_dir):
+    """Read with the types that the profile found."""
+    path = _order_files(spark, sf_dir)
+    found = infer_schema(profile_csv(spark, path))
+    loaded = read_csv(spark, path, CsvOptions(schema=found))
+    return loaded.withColumns(
+        {"o_orderkey": F.col("o_orderkey").cast("bigint"), "price": F.round("price", 2)}
+    )
+
+
+@query("lake_compacted")
+def _(spark, sf_dir):
+    """A lake gathered in three runs, two of them merged, and files that came later."""
+    base = scratch_path(spark, "compaction")
+    readings = _readings(spark, sf_dir)
+    compacted = CompactedLake(spark, f"{base}/*", f"{base}-runs", fold=2)
+    for part in range(4):
+        rows = readings.where(F.pmod(F.xxhash64(*readings.columns), F.lit(4)) == part)
+        write_lake_csv(rows.where("measurement IS NULL"), f"{base}/{part}")
+        write_lake_json(rows.where("measurement IS NOT NULL"), f"{base}/{part}")
+        if part < 3:
+            compacted.compact()
+    return V.wall_clock(compacted.read(), "timestamp")
+
+
 @query("ingest_json")
 def _(spark, sf_dir):
     path = scratch_path(spark, "lake-json")

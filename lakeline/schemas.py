@@ -19,6 +19,10 @@ READING = T.StructType(
 DAMAGED = "_damaged"
 
 
+def with_damaged(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(DAMAGED, T.StringType())])
+
+
 def lake_schema(keys: Sequence[str] = (), schema: T.StructType = READING) -> T.StructType:
     """The schema of lake files that begin with further text columns, such as a sensor's id."""
     extra = [T.StructField(k, T.StringType()) for k in keys if k not in schema.names]

@@ -9,10 +9,10 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from lakeline.config import CsvOptions
-from lakeline.schemas import DAMAGED, MESSAGE, READING
+from lakeline.schemas import DAMAGED, MESSAGE, READING, with_damaged
 
 #: The file source passes over files this much older than the newest one: none.
 ANY_AGE = "36500d"
@@ -135,6 +135,13 @@ def stream_sensor_lake(
     return _undamaged(readings)
 
 
+def lake_lines(
+    reader: DataFrameReader, paths: list[str], schema: StructType, kind: str
+) -> DataFrame:
+    """Every line of these files of one kind, ``csv`` or ``json``; the text of damaged ones beside."""
+    return {"csv": _sensor_csv, "json": _sensor_json}[kind](reader, paths, schema)
+
+
 def _undamaged(lines: DataFrame) -> DataFrame:
     return _judged(lines, F.col(DAMAGED).isNull()).drop(DAMAGED)
 
@@ -147,11 +154,11 @@ def _judged(lines: DataFrame, verdict: Column) -> DataFrame:
 
 
 def _sensor_csv(
-    reader: DataFrameReader | DataStreamReader, path: str, schema: StructType
+    reader: DataFrameReader | DataStreamReader, path: str | list[str], schema: StructType
 ) -> DataFrame:
     # The header must agree with the schema instead of being ignored.
     return (
-        reader.schema(_with_damaged(schema))
+        reader.schema(with_damaged(schema))
         .option("columnNameOfCorruptRecord", DAMAGED)
         .option("pathGlobFilter", "*.csv")
         .option("header", True)
@@ -161,20 +168,16 @@ def _sensor_csv(
 
 
 def _sensor_json(
-    reader: DataFrameReader | DataStreamReader, path: str, schema: StructType
+    reader: DataFrameReader | DataStreamReader, path: str | list[str], schema: StructType
 ) -> DataFrame:
     return (
-        reader.schema(_with_damaged(schema))
+        reader.schema(with_damaged(schema))
         .option("columnNameOfCorruptRecord", DAMAGED)
         .option("pathGlobFilter", "*.json")
         .json(path)
     )
 
 
-def _with_damaged(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField(DAMAGED, StringType())])
-
-
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """Lines of ``key<TAB>value``; the value may hold further tabs."""
     pair = F.split("value", "\t", 2)

@@ -34,14 +34,18 @@ class RunStore:
     So a row is written again once a level, and at most ``fold`` runs of each level
     are read, however long the stream goes on. A batch overwrites its own run, so a
     repeat adds nothing. A merged run counts once it is complete, and what it covers is
-    passed over from then on; it is removed afterwards, now or by a later merge.
+    passed over from then on; it is removed afterwards, now or by a later merge. With
+    ``linger`` always by a later one, for the sake of those who read it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, merge: Merge, fold: int = 8) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, merge: Merge, fold: int = 8, linger: bool = False
+    ) -> None:
         self._spark = spark
         self._path = path.rstrip("/")
         self._merge = merge
         self._fold = fold
+        self._linger = linger
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         run = Run(0, batch_id, batch_id)
@@ -66,15 +70,19 @@ class RunStore:
         runs = [Run(*map(int, n.split("-")[1:])) for n in names]
         return [r for r in runs if is_committed(self._spark, self._at(r))]
 
+    def _covered(self) -> list[Run]:
+        complete = self._complete()
+        return [r for r in complete if any(other.covers(r) for other in complete)]
+
     def _fold_up(self) -> None:
         live = self.runs()
         level = 0
         while len(full := [r for r in live if r.level == level]) >= self._fold:
             merged = Run(level + 1, full[0].first, full[-1].last)
+            replaced = self._covered() if self._linger else []
             self._write(self._merged(full, full[0] == live[0]), merged)
-            for run in self._complete():
-                if merged.covers(run):
-                    remove(self._spark, self._at(run))
+            for run in replaced if self._linger else self._covered():
+                remove(self._spark, self._at(run))
             live = self.runs()
             level += 1
 
