@@ -16,6 +16,7 @@ from lakeline.llm.bpe import WORDS, Encoder, Vocabulary, read_vocabulary
 from lakeline.llm.common import Staging, texts_of
 
 Batches = Iterator[pa.RecordBatch]
+ELITES = "array<struct<bins:binary,generations:int>>"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -24,15 +25,15 @@ class Evolution:
     """How long and how wide the search for a good packing is.
 
     Pieces are dealt at random to blocks of about ``block`` pieces. Every block is
-    packed by ``islands`` populations that exchange their best packing between
-    ``epochs``. The worst ``rework`` of a block's bins are emptied and packed anew
+    packed by ``islands`` populations, which begin with packings in random order and
+    exchange their best one between ``epochs`` of ``generations``. The worst ``rework`` of a block's bins are emptied and packed anew
     with those of other blocks, until one block holds them.
     """
 
     block: int = 8192
     islands: int = 3
     epochs: int = 2
-    generations: int = 6
+    generations: int = 10
     population: int = 4
     rework: float = 0.02
     seed: int = 5
@@ -92,10 +93,12 @@ def pack(
     text_col: str = "text",
     vocabulary: str | None = None,
 ) -> DataFrame:
-    """The pieces of ``pieces``, each with ``sequence_id`` and its ``offset`` there.
+    """The pieces of ``pieces``, each with ``sequence_id``, its ``offset`` there and ``generations``.
 
     Sequences hold at most ``capacity`` tokens without gaps. Full pieces are
     sequences of their own; the others are packed block by block, see ``Evolution``.
+    A block's search ends early where no packing has fewer sequences. ``generations``
+    are those that its packing descends from, 0 if crossover had no part in it.
 
     Null and empty texts are one token, the closing one. Rows without id and
     repeated rows are packed like any other. An empty table gives an empty result.
@@ -106,6 +109,7 @@ def pack(
         "*",
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
+        F.lit(0).alias("generations"),
     )
     result = full
     rest = all_pieces.where(F.col("length") < capacity)
@@ -118,7 +122,7 @@ def pack(
         result = result.unionByName(done.drop("poor"))
         if last:
             break
-        rest = packed.where("poor").drop("poor", "sequence_id", "offset")
+        rest = packed.where("poor").drop("poor", "sequence_id", "offset", "generations")
         before, count, level = count, rest.count(), level + 1
         if count >= before:
             raise RuntimeError("reworked bins must become fewer")
@@ -138,24 +142,26 @@ def _pack_blocks(
     elites: DataFrame | None = None
     for epoch in range(evolution.epochs):
         if elites is None:
-            state = tasks.withColumn("elites", F.array().cast("array<binary>"))
+            state = tasks.withColumn("elites", F.array().cast(ELITES))
         else:
             # An island goes on from its own best packing and from its neighbour's.
             visiting = elites.withColumn("island", F.pmod(F.col("island") + 1, evolution.islands))
             own = elites.unionByName(visiting)
             state = tasks.join(
-                own.groupBy("block", "island").agg(F.collect_list("bins").alias("elites")),
+                own.groupBy("block", "island").agg(F.collect_list(F.struct("bins", "generations")).alias("elites")),
                 ["block", "island"],
             )
         spread = state.repartition(blocks * evolution.islands, "block", "island")
         elites = staging.keep(
             spread.mapInArrow(
                 _evolve(capacity, evolution, level * 1000 + epoch),
-                "block long, island int, cost double, bins binary",
+                "block long, island int, cost double, bins binary, generations int",
             )
         )
-    best = elites.groupBy("block").agg(F.min_by("bins", F.struct("cost", "island")).alias("bins"))
-    schema = f"{PIECE}, sequence_id long, offset long, poor boolean"
+    best = elites.groupBy("block").agg(
+        F.min_by(F.struct("bins", "generations"), F.struct("cost", "island")).alias("best")
+    ).select("block", "best.*")
+    schema = f"{PIECE}, sequence_id long, offset long, generations int, poor boolean"
     placed = held.join(best, "block").mapInArrow(_place(level, capacity, evolution.rework), schema)
     return staging.keep(placed)
 
@@ -168,14 +174,18 @@ def _evolve(capacity: int, evolution: Evolution, salt: int) -> Callable[[Batches
                 lengths = np.array(batch.column(2)[row].values.to_numpy(), np.int64)
                 random = np.random.default_rng([evolution.seed, salt, block, island])
                 search = Search(lengths, capacity, random)
-                elites = [np.frombuffer(e, np.int32) for e in batch.column(3)[row].as_py()]
-                bins = search.run(elites, evolution.population, evolution.generations)
+                elites = [
+                    (np.frombuffer(e["bins"], np.int32), e["generations"])
+                    for e in batch.column(3)[row].as_py()
+                ]
+                bins, bred = search.run(elites, evolution.population, evolution.generations)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": pa.array([block], pa.int64()),
                         "island": pa.array([island], pa.int32()),
                         "cost": pa.array([search.cost(bins)], pa.float64()),
                         "bins": pa.array([bins.astype(np.int32).tobytes()], pa.binary()),
+                        "generations": pa.array([bred], pa.int32()),
                     }
                 )
 
@@ -225,17 +235,17 @@ class Search:
             open_rooms |= 1 << (r - length)
         return bins
 
-    def fresh(self, noise: float) -> np.ndarray:
-        """Best fit of the items by decreasing length, blurred by ``noise``."""
-        blurred = self.lengths * (1 + noise * self.random.random(len(self.lengths)))
-        order = np.argsort(-blurred, kind="stable")
+    def fresh(self) -> np.ndarray:
+        """Best fit of the items in random order."""
+        order = self.random.permutation(len(self.lengths))
         return self.best_fit(np.full(len(self.lengths), -1), order, 0)
 
     def cross(self, mother: np.ndarray, father: np.ndarray) -> np.ndarray:
         """The mother's bins with well-filled ones of the father put in whole.
 
-        Her bins that hold an item of those are taken apart, and their other items
-        are best-fitted again.
+        Her bins that hold an item of those are taken apart, as are many that are not
+        full and some that are, or the same packing would come back. Their other
+        items are best-fitted again, more or less the longest first.
         """
         fills = self.fills(father)
         good = np.flatnonzero(fills >= 0.999 * self.capacity)
@@ -244,41 +254,43 @@ class Search:
         chosen = np.zeros(len(fills), bool)
         chosen[good[self.random.random(len(good)) < self.random.uniform(0.1, 0.6)]] = True
         injected = chosen[father]
-        broken = np.zeros(mother.max() + 1, bool)
-        broken[mother[injected]] = True
-        # Some of her emptiest bins go too, or the same packing would come back.
         own = self.fills(mother)
-        loose = np.flatnonzero(own < 0.99 * self.capacity)
-        broken[loose[self.random.random(len(loose)) < 0.5]] = True
+        of_full, of_others = self.random.uniform(0, 0.5), self.random.uniform(0.3, 1.2)
+        share = np.where(own < self.capacity, of_others, of_full)
+        broken = self.random.random(len(own)) < share
+        broken[mother[injected]] = True
         lost = broken[mother]
         bins = np.where(lost, -1, mother)
         bins[injected] = father[injected] + len(own)
         held = bins >= 0
         bins[held] = np.unique(bins[held], return_inverse=True)[1]
         displaced = np.flatnonzero(~held)
-        blurred = self.lengths[displaced] * (1 + 0.05 * self.random.random(len(displaced)))
+        blur = self.random.uniform(0, 0.02 if self.random.random() < 0.7 else 0.5)
+        blurred = self.lengths[displaced] * (1 + blur * self.random.random(len(displaced)))
         used = int(bins.max()) + 1 if held.any() else 0
         return self.best_fit(bins, displaced[np.argsort(-blurred)], used)
 
-    def run(self, elites: list[np.ndarray], population: int, generations: int) -> np.ndarray:
-        people = [(self.cost(e), e) for e in elites]
-        noise = 0.0
+    def run(
+        self, elites: list[tuple[np.ndarray, int]], population: int, generations: int
+    ) -> tuple[np.ndarray, int]:
+        """The best packing and how many generations it descends from; so with ``elites``."""
+        people = [(self.cost(packing), bred, packing) for packing, bred in elites]
         while len(people) < population:
-            packing = self.fresh(noise)
-            people.append((self.cost(packing), packing))
-            noise += 0.05
+            packing = self.fresh()
+            people.append((self.cost(packing), 0, packing))
         least = -(-int(self.lengths.sum()) // self.capacity)
         for _ in range(generations):
-            people.sort(key=lambda p: p[0])
+            people.sort(key=lambda p: p[:2])
             if int(people[0][0]) <= least:
                 break  # no packing has fewer bins
             children = []
             for _ in range(population):
                 a, b = sorted(self.random.choice(len(people), 2, replace=False))
-                child = self.cross(people[a][1], people[b][1])
-                children.append((self.cost(child), child))
-            people = sorted(people + children, key=lambda p: p[0])[:population]
-        return min(people, key=lambda p: p[0])[1]
+                child = self.cross(people[a][2], people[b][2])
+                children.append((self.cost(child), 1 + max(people[a][1], people[b][1]), child))
+            people = sorted(people + children, key=lambda p: p[:2])[:population]
+        _, bred, packing = min(people, key=lambda p: p[:2])
+        return packing, bred
 
 
 def _place(level: int, capacity: int, rework: float) -> Callable[[Batches], Batches]:
@@ -305,6 +317,7 @@ def _place(level: int, capacity: int, rework: float) -> Callable[[Batches], Batc
                     | {
                         "sequence_id": pa.array(sequence),
                         "offset": pa.array(offset),
+                        "generations": pa.repeat(batch.column("generations")[row], len(order)),
                         "poor": pa.array(poor[sorted_bins]),
                     }
                 )

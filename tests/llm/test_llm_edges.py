@@ -307,14 +307,58 @@ def test_crossing_keeps_every_item_and_room():
     draw = np.random.default_rng(2)
     lengths = draw.integers(1, 70, 300)
     search = Search(lengths, 100, draw)
-    mother, father = search.fresh(0.0), search.fresh(0.6)
+    mother, father = search.fresh(), search.fresh()
     for _ in range(20):
         child = search.cross(mother, father)
         assert len(child) == 300 and child.min() == 0 and search.fills(child).max() <= 100
         assert len(np.unique(child)) == child.max() + 1
         mother, father = father, child
-    best = search.run([mother], 4, 6)
-    assert search.cost(best) <= search.cost(mother)
+    best, bred = search.run([(mother, 20)], 4, 6)
+    assert search.cost(best) <= search.cost(mother) and bred >= 0
+
+
+def least_bins(lengths, capacity):
+    """By trying every bin for every item, the longest first."""
+    best = len(lengths)
+
+    def place(items, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if not items:
+            best = len(fills)
+            return
+        for i in range(len(fills)):
+            if fills[i] + items[0] <= capacity:
+                place(items[1:], [*fills[:i], fills[i] + items[0], *fills[i + 1 :]])
+        place(items[1:], [*fills, items[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_small_packings_are_the_best_possible():
+    draw = np.random.default_rng(7)
+    for _ in range(40):
+        lengths = draw.integers(1, 70, draw.integers(1, 10))
+        bins, _ = Search(lengths, 100, draw).run([], 4, 8)
+        assert bins.max() + 1 == least_bins(lengths.tolist(), 100)
+
+
+def test_crossing_beats_best_fit_by_decreasing_length():
+    """Sets of three that fill a bin together, which the longest first do not find."""
+    won = 0
+    for seed in range(10):
+        draw = np.random.default_rng(seed)
+        first = draw.integers(260, 480, 60)
+        second = draw.integers(260, 1000 - first - 250)
+        lengths = np.concatenate([first, second, 1000 - first - second])
+        search = Search(lengths, 1000, draw)
+        greedy = search.best_fit(np.full(180, -1), np.argsort(-lengths, kind="stable"), 0)
+        bins, bred = search.run([], 8, 60)
+        assert bins.max() <= greedy.max()
+        won += bins.max() < greedy.max() and bred > 0
+    assert won >= 8
 
 
 def test_lines_with_several_licences_and_very_long_lines(documents, prose):
