@@ -36,7 +36,8 @@ def register(query: Query) -> Query:
 
 @register
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    found = top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 @register
