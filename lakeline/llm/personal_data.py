@@ -66,12 +66,40 @@ def _folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+#: Frequent first names and surnames of several languages and scripts.
 FIRST_NAMES = frozenset(
-    "Anna Alice Bob Carlos Charles Daniel David Elena Emma Eva Hans James Jean John José Juan "
-    "Julia Karl Laura Linda Luis Maria Marie Mark Mary Michael Patricia Paul Peter Pierre Robert "
-    "Sarah Sofia Susan Thomas William".split()
+    "Ahmed Aisha Alejandro Alexander Ali Alice Amelia Amir Ana Andrea Andreas Andrew Anna Anne "
+    "Antonio Barbara Beatriz Ben Benjamin Bob Brian Camille Carlos Carmen Caroline Catherine Charles "
+    "Charlotte Chloé Chris Christian Christine Claire Claudia Daniel David Deborah Diego Dmitri "
+    "Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Fatima Fernando Francesca Francesco "
+    "François Frank George Giovanni Giulia Grace Greta Hannah Hans Hassan Heinrich Helen Henry "
+    "Hiroshi Ibrahim Ines Ingrid Isabel Isabelle Ivan Jack Jacob Jacques James Jan Jane Javier Jean "
+    "Jennifer Jessica John Jorge José Joseph Juan Julia Julie Jürgen Karen Karl Katarina Katherine Kevin Klaus "
+    "Laura Lena Leon Linda Lisa Louis Luca Lucas Lucía Luis Manuel Marco Margaret Maria Marie Mario "
+    "Mark Markus Marta Martin Mary Matthew Mehmet Michael Michel Miguel Mohamed Mohammed Monika Nadia "
+    "Nancy Natalia Nicolas Nina Olga Olivia Omar Pablo Patricia Paul Pedro Peter Petra Philip Pierre "
+    "Priya Rachel Rafael Raj Ravi Rebecca Ricardo Richard Robert Rosa Samuel Sandra Sarah Sergei "
+    "Sofia Sophie Stefan Stephen Susan Svetlana Teresa Thomas Tom Ursula Wei William Wolfgang Yuki "
+    "Yusuf Анна Иван Мария Ольга Сергей Γιώργος Ελένη Μαρία".split()
+)
+SURNAMES = frozenset(
+    "Adams Ahmed Ali Allen Álvarez Anderson Andersson Bailey Baker Bauer Becker Bennett Bernard "
+    "Bianchi Brown Campbell Carter Castro Chen Clark Collins Cooper Costa Cruz Davies Davis Díaz "
+    "Dubois Durand Edwards Esposito Evans Fernandes Fernández Ferrari Ferreira Fischer Flores Fontaine "
+    "García Garnier Gómez González Gonzalez Gray Gupta Gutiérrez Hall Hansen Harris Hernández Hoffmann Horvat "
+    "Hughes Hussain Ivanov Ivanova Jackson Jansen Jensen Jiménez Johansson Johnson Jones Kaya Keller Khan Kim "
+    "Klein Koch Kowalski Krüger Kumar Lambert Larsen Laurent Lee Lefebvre Leroy Lewis Li Liu López "
+    "Martin Martínez Mehta Meyer Miller Mitchell Moore Morales Moreau Moreno Müller Muñoz Murphy "
+    "Nakamura Nelson Neumann Nguyen Nielsen Novak Nowak Oliveira Ortiz Özdemir Papadopoulos Parker "
+    "Patel Pereira Pérez Petit Petrov Petrova Phillips Popov Ramírez Ramos Reyes Ricci Richter Rivera "
+    "Roberts Robinson Rodríguez Romano Romero Rossi Roux Ruiz Russo Sánchez Santos Sato Schäfer Schmidt Schmitt "
+    "Schneider Schröder Schulz Schwarz Scott Silva Singh Smirnov Smith Suzuki Svensson Tanaka Taylor "
+    "Thompson Torres Tran Turner Vargas Vega Vogel Wagner Walker Wang Watanabe Watson Weber Weiß Williams "
+    "Wilson Wolf Wright Yamamoto Yılmaz Zhang Zimmermann Иванов Иванова Петров Петрова Смирнов "
+    "Παπαδόπουλος".split()
 )
 FOLDED_FIRST_NAMES = frozenset(map(_folded, FIRST_NAMES))
+FOLDED_SURNAMES = frozenset(map(_folded, SURNAMES))
 CUES = {
     "secret": frozenset("password passwd key secret token credentials login access aws".split()),
     "account": frozenset("iban account bank konto cuenta compte transfer pay".split()),
@@ -85,7 +113,17 @@ WORD = re.compile(r"[^\W_]+")
 #: Letters before and after a span that its context labelers read.
 WINDOW = 48
 YES, NO, SILENT = 1, 0, 2
-VOTERS = 5
+VOTERS = 6
+#: Rates of the votes NO, YES and SILENT by truth that the labelers start with: first the general
+#: ones, then those of cues behind a span, and of words against it. Silence of these says little.
+START = np.array([[[0.3, 0.05, 0.65], [0.05, 0.45, 0.5]]] * VOTERS)
+START[3] = [[0.02, 0.03, 0.95], [0.02, 0.13, 0.85]]
+START[4] = [[0.10, 0.02, 0.88], [0.05, 0.02, 0.93]]
+#: The surname labeler speaks on names alone.
+SURNAME = 5
+#: All patterns of votes, and how much the classifier heeds one that the texts do not show.
+PATTERNS = np.stack(np.meshgrid(*[(NO, YES, SILENT)] * VOTERS, indexing="ij"), -1).reshape(-1, VOTERS)
+UNSEEN = 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -150,7 +188,7 @@ def _plausible(kind: str, span: str) -> int:
         return YES if fine else NO
     if kind == "date_of_birth":
         year = int(max(re.split("[./-]", span), key=len))
-        return YES if 1900 <= year <= 2020 else NO
+        return SILENT if 1900 <= year <= 2020 else NO
     if kind == "handle":
         return YES if any(c.islower() for c in span) else SILENT
     return SILENT
@@ -166,14 +204,21 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     before = [w.lower() for w in WORD.findall(text[max(0, start - WINDOW) : start])][-5:]
     after = [w.lower() for w in WORD.findall(text[end : end + WINDOW])][:3]
     inside = WORD.findall(_folded(span) if kind == "name" else span)
-    gazetteer = SILENT
+    gazetteer = surname = SILENT
     # After a title stands a name, be it a first name or a surname.
     titled = kind == "name" and _titled(text, start)
     if kind == "name":
-        gazetteer = YES if inside[0] in FOLDED_FIRST_NAMES else SILENT if titled else NO
+        # No list holds all names, so one that is not on it is no vote against.
+        if inside[0] in FOLDED_FIRST_NAMES:
+            gazetteer = YES
+        elif inside[0].lower() in CUES["name"]:  # the word before a name is none
+            gazetteer = NO
+        surname = YES if inside[-1] in FOLDED_SURNAMES else SILENT
     elif kind == "secret":
         known = any(w.lower() in CUES["secret"] for w in inside) or span.startswith("AKIA")
         gazetteer = YES if known else NO
+    else:  # "born 12.03.1980": the words right before say what it is
+        gazetteer = YES if any(w in CUES[kind] for w in before[-2:]) else SILENT
     near = any(w in CUES[kind] for w in before)
     return (
         YES if titled else _plausible(kind, span),
@@ -181,6 +226,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         YES if near else SILENT,
         YES if any(w in CUES[kind] for w in after) else SILENT,
         NO if AGAINST.intersection(before + after) else SILENT,
+        surname,
     )
 
 
@@ -199,7 +245,8 @@ def shape(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
 def _places(kind: str, text: str) -> Iterator[tuple[int, int]]:
     """Starts and ends of the candidates of a kind, by start.
 
-    A name is each two capitalised words side by side, so these may overlap, or one after a title.
+    A name is each two capitalised words side by side, so these may overlap, or one after a
+    title, which is no part of it.
     """
     pattern = CANDIDATES[kind]
     if kind != "name":
@@ -209,7 +256,8 @@ def _places(kind: str, text: str) -> Iterator[tuple[int, int]]:
         start = m.start()
         if not m[0].isupper():
             continue
-        if two := TWO_WORDS.match(text, start):
+        two = TWO_WORDS.match(text, start)
+        if two and two[0].split(" ")[0].lower() not in TITLES:
             yield two.span()
         elif _titled(text, start) and (one := ONE_WORD.match(text, start)):
             yield one.span()
@@ -246,33 +294,40 @@ class SpanModel:
 
 
 def encode_keys(keys: np.ndarray) -> np.ndarray:
-    """One column for each vote, kind, length class and mark, and for each kind's own yes votes."""
+    """Columns of each kind for itself: its votes for and against, length class and marks."""
     votes_, kind, rest = keys[:, :VOTERS], keys[:, VOTERS], keys[:, VOTERS + 1 :]
-    columns = [votes_ == YES, votes_ == NO]
-    columns.append(kind[:, None] == np.arange(len(ADDED_KINDS)))
-    columns.append(rest[:, :1] == np.arange(8))
-    columns.append(rest[:, 1:] == 1)
-    for k in range(len(ADDED_KINDS)):
-        columns.append((votes_ == YES) & (kind == k)[:, None])
+    told = [np.ones((len(keys), 1), bool), votes_ == YES, votes_ == NO]
+    told += [rest[:, :1] == np.arange(8), rest[:, 1:] == 1]
+    facts = np.concatenate(told, axis=1)
+    columns = [facts & (kind == k)[:, None] for k in range(len(ADDED_KINDS))]
     return np.concatenate(columns, axis=1).astype(float)
 
 
 def expectation_maximisation(
-    votes_: np.ndarray, counts: np.ndarray, prior: float = 0.1, rounds: int = 100
+    votes_: np.ndarray,
+    counts: np.ndarray,
+    prior: float = 0.1,
+    rounds: int = 100,
+    start: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each vote pattern, and each labeler's rates of votes by truth.
 
     ``votes_`` has a row for each pattern, ``counts`` how often it occurs. Votes are
     taken as independent given the truth; rates start in favour of the labelers and
-    are smoothed, so a labeler that seldom votes stays believed.
+    are smoothed, so a labeler that seldom votes stays believed. Where true spans are
+    rare, their share does not fall below that of the spans with two votes for and none
+    against. A pattern that does not occur has a count of 0 and gets its posterior too.
     """
     patterns, voters = votes_.shape
     onehot = np.stack([votes_ == v for v in (NO, YES, SILENT)], axis=2).astype(float)
-    start = np.array([[[0.3, 0.05, 0.65], [0.05, 0.45, 0.5]]] * voters)  # voter, truth, vote
+    if start is None:
+        start = np.repeat(START[:1], voters, axis=0)  # voter, truth, vote
     # A cue is rare by nature: silence says little.
     smoothing = 50.0 * start
     rates = start.copy()
     share = prior
+    agreed = ((votes_ == YES).sum(axis=1) > 1) & ~(votes_ == NO).any(axis=1)
+    least = max(0.01, float(counts @ agreed) / max(1.0, float(counts.sum())))
     posterior = np.full(patterns, prior)
     for _ in range(rounds):
         told = np.einsum("pvx,vtx->pt", onehot, np.log(rates))
@@ -282,28 +337,42 @@ def expectation_maximisation(
             seen = np.einsum("p,pvx->vx", weight, onehot) + smoothing[:, truth]
             rates[:, truth] = seen / seen.sum(axis=1, keepdims=True)
         total = counts.sum()
-        share = float(np.clip((counts @ posterior + 5 * prior) / (total + 5), 0.01, 0.99))
+        share = float(np.clip((counts @ posterior + 5 * prior) / (total + 5), min(least, 0.99), 0.99))
         if np.abs(posterior - last).max() < 1e-9:
             break
     return posterior, rates
 
 
 def train(keys: list[str], counts: list[int], rounds: int = 100) -> SpanModel:
-    """The span classifier from counts of keys: one EM for each kind, then one logistic fit."""
-    table = np.array([[int(x) for x in k.split(",")] for k in keys]).reshape(-1, VOTERS + 4)
+    """The span classifier from counts of keys: one EM for each kind, then one logistic fit.
+
+    Patterns of votes that the texts do not show are learned with a small weight from
+    what the EM holds of them, so texts without a name do not teach that there is none.
+    """
+    table = np.array([[int(x) for x in k.split(",")] for k in keys], int).reshape(-1, VOTERS + 4)
+    pattern = table[:, :VOTERS] @ 3 ** np.arange(VOTERS - 1, -1, -1)
+    number = np.argsort(PATTERNS @ 3 ** np.arange(VOTERS - 1, -1, -1))
     n = np.array(counts, float)
     soft = np.zeros(len(table))
-    reliability = {}
+    reliability, unseen, believed = {}, [], []
     for k, kind in enumerate(ADDED_KINDS):
         own = np.flatnonzero(table[:, VOTERS] == k)
-        if len(own):
-            patterns, where = np.unique(table[own, :VOTERS], axis=0, return_inverse=True)
-            total = np.bincount(where.ravel(), n[own])
-            posterior, reliability[kind] = expectation_maximisation(patterns, total)
-            soft[own] = posterior[where.ravel()]
+        where = number[pattern[own]]
+        total = np.bincount(where, n[own], len(PATTERNS))
+        start = START.copy()
+        if kind != "name":
+            start[SURNAME] = 1 / 3
+        posterior, reliability[kind] = expectation_maximisation(PATTERNS, total, start=start)
+        soft[own] = posterior[where]
+        rest = np.flatnonzero(total == 0)
+        shapeless = np.tile([k, -1, 0, 0], (len(rest), 1))
+        unseen.append(np.c_[PATTERNS[rest], shapeless])
+        believed.append(posterior[rest])
+    table = np.concatenate([table, *unseen])
     x = np.c_[encode_keys(table), np.ones(len(table))]
     # A key that fills the corpus should not drown the others.
-    n = np.sqrt(n)
+    n = np.r_[np.sqrt(n), np.full(len(table) - len(n), UNSEEN)]
+    soft = np.concatenate([soft, *believed])
     theta = np.zeros(x.shape[1])
     penalty = 0.1 * np.eye(x.shape[1])
     for _ in range(rounds):

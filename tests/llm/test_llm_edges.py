@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeline.llm import near_copies as near_module
 from lakeline.llm.bpe import Decoder, Encoder, Vocabulary, decode, encode, read_vocabulary
-from lakeline.llm.common import Staging
+from lakeline.llm.common import Staging, read_table
 from lakeline.llm.components import components
 from lakeline.llm.copies import drop_copies, mark_copies
 from lakeline.llm.licences import OTHERS, find_licences
@@ -439,6 +439,25 @@ def test_names_behind_cues_titles_and_in_other_letters(documents):
     assert masked[900][0] == "key [SECRET] end" and masked[0][0] == "Dear [NAME], welcome"
 
 
+def test_names_and_births_where_the_tables_have_none(spark, documents, sf_dir):
+    """The classifier is learned from texts with at most a few names among many candidates."""
+    tables = [(r.doc_id, r.text) for r in read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    first = 1 + max(i for i, _ in tables)
+    planted = [
+        ("Dear Mohammed Ali, welcome", "Mohammed Ali"), ("Mary Jones lives here", "Mary Jones"),
+        ("yes, I met José García", "José García"), ("so Dr. Müller came", "Müller"),
+        ("she was born 12.03.1980", "12.03.1980"), ("the author Иван Петров wrote", "Иван Петров"),
+        ("we saw Old Harbour there", None), ("The New York Times", None), ("on 12.03.1980 it rained", None),
+        ("the United States Senate", None), ("Monday Morning Coffee", None), ("see Chapter Seven", None),
+    ]
+    rows = [*tables, *((first + i, t) for i, (t, _) in enumerate(planted))]
+    found = as_dict(find_spans(documents(*rows)), "doc_id", "spans")
+    for i, (text, name) in enumerate(planted):
+        assert [text[s.start : s.stop] for s in found[first + i][0]] == ([name] if name else []), text
+    wrong = [s for i, _ in tables for s in found[i][0] if s.kind in ("name", "date_of_birth")]
+    assert len(wrong) <= len(tables) / 500
+
+
 def test_agreement_tells_reliable_labelers_from_others():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.3
