@@ -19,10 +19,13 @@ from llm.brute import (
     periodic_runs,
     repeated_places,
 )
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lakeline.llm.common import read_table
 from lakeline.llm.queries import ORACLE, QUERIES
+from lakeline.llm.toxicity import held_out, learn
 
 
 def cell(value):
@@ -142,6 +145,15 @@ def test_scores_look_at_no_held_out_label(spark, sf_dir, texts):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
 
 
+def test_other_held_out_labels_teach_the_same(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    turned = F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    kind = labels.schema["toxic"].dataType
+    flipped = labels.withColumn("toxic", turned.cast(kind))
+    assert flipped.exceptAll(labels).count() > 0
+    assert learn(docs, flipped) == learn(docs, labels)
+
+
 def test_near_copies_equal_all_pairs(spark, sf_dir, texts):
     expected = near_components(texts, 3, 85)
     found = QUERIES["op10_minhash_near_dedup"](spark, sf_dir).collect()
